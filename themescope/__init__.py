@@ -1 +1,8 @@
 """themescope: turn free-text complaints into themes, reports and agreement scores on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

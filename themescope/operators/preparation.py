@@ -72,11 +72,21 @@ def is_stratum(label: Column, prefix: str = fv.STRATUM_PREFIX) -> Column:
 
 def with_clean_text(df: DataFrame, text: str = "narrative") -> DataFrame:
     """Replace the text by its clean form and add ``word_count``."""
-    return df.withColumn(text, clean_text(F.col(text))).withColumn(
+    return computed_once(df, text, clean_text(F.col(text))).withColumn(
         "word_count", squeezed_word_count(F.col(text))
     )
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Set a column whose expression is costly and whose value is used several times.
+
+    A filter on a plain projected column is pushed below the projection, with the expression
+    repeated at each use.  A generator is a barrier to that: a one-element array is exploded.
+    """
+    cell = F.explode(F.array(value)).alias(name)
+    return df.select(*[cell if c == name else F.col(f"`{c}`") for c in df.columns])
+
+
 def length_band(df: DataFrame, low: int = fv.MIN_WORDS, high: int = fv.MAX_WORDS) -> DataFrame:
     return df.filter(F.col("word_count").between(low, high))
 

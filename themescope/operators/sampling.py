@@ -34,13 +34,13 @@ def draw_histogram(df: DataFrame, group: str, key: str, seed: int | str, digits:
 
 
 def cap_edges(histogram: DataFrame, group: str, cap: int) -> DataFrame:
-    """For each group with more than ``cap`` rows: the bucket holding the cap-th draw, and how
-    many rows of that bucket still belong to the sample."""
+    """For each group of at least ``cap`` rows: the bucket holding the cap-th draw, and how many
+    rows of that bucket still belong to the sample."""
     upto = F.sum("_n").over(W.partitionBy(group).orderBy("_bucket"))
     return (
         histogram.withColumn("_upto", upto)
         .withColumn("_room", F.lit(cap) - (F.col("_upto") - F.col("_n")))
-        .filter((F.col("_room") > 0) & (F.col("_upto") > cap))
+        .filter((F.col("_room") > 0) & (F.col("_upto") >= cap))
         .select(group, F.col("_bucket").alias("_edge"), "_room")
     )
 
