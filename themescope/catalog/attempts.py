@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
-from themescope.catalog.registry import query, table
+from themescope.catalog.registry import query, table, texts
 from themescope.functions.responses import read_labels
 from themescope.operators import attempts as att, joins
 
@@ -69,7 +69,7 @@ def model_attempts(spark: SparkSession, folder: str) -> DataFrame:
     slots = F.array(*[
         F.struct(F.lit(r).alias("model_rank"), F.lit(a).alias("attempt")) for r in (0, 1) for a in (0, 1)
     ])
-    made = table(spark, folder, "documents").withColumn("w", words).withColumn("s", F.explode(slots)).select("*", "s.*")
+    made = texts(spark, folder).withColumn("w", words).withColumn("s", F.explode(slots)).select("*", "s.*")
     turn = (F.col("n_chars") + 3 * F.col("model_rank") + F.col("attempt")) % 6
     shape = (F.col("n_chars") + F.col("model_rank") + 2 * F.col("attempt")) % 8
     mood = F.when(F.col("lang") == "en", "Negative").when(F.col("lang") == "fr", "negative").otherwise("Positive")
@@ -170,7 +170,7 @@ f AS (SELECT doc_id, word, min(i) AS i FROM u GROUP BY 1, 2)
 SELECT doc_id, md5(string_agg(word, ' ' ORDER BY i)) AS digest, count(*) AS words FROM f GROUP BY 1""")
 def repeated_words(spark: SparkSession, folder: str) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    once = table(spark, folder, "documents").select("doc_id", F.array_distinct(words).alias("w"))
+    once = texts(spark, folder).select("doc_id", F.array_distinct(words).alias("w"))
     return once.select(
         "doc_id", F.md5(F.array_join("w", " ")).alias("digest"), F.size("w").cast("bigint").alias("words")
     )

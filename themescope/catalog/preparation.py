@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.catalog import stand_ins as si
-from themescope.catalog.registry import query, table
+from themescope.catalog.registry import query, table, texts
 from themescope.functions import dates, text as tx
 from themescope.operators import aggregates as agg, preparation as prep
 from themescope.plans.prepare import extraction_tests, extract_pool
@@ -54,13 +54,13 @@ def canonical_by_dimension(spark: SparkSession, folder: str) -> DataFrame:
 @query("clean_text", f"""WITH c AS (SELECT doc_id, {si.sql_clean(si._sql_masks('text'))} AS narrative FROM documents)
 SELECT doc_id, md5(narrative) AS digest, {si.sql_words('narrative')} AS word_count FROM c""")
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", si.masked_text(F.col("text")).alias("narrative"))
+    docs = texts(spark, folder).select("doc_id", si.masked_text(F.col("text")).alias("narrative"))
     return prep.with_clean_text(docs).select("doc_id", F.md5("narrative").alias("digest"), "word_count")
 
 
 @query("raw_word_counts", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words FROM documents""")
 def raw_word_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"))
+    return texts(spark, folder).select("doc_id", tx.word_count(F.col("text")).alias("words"))
 
 
 @query("truncated_text", rf"""WITH c AS (
@@ -68,14 +68,14 @@ def raw_word_counts(spark: SparkSession, folder: str) -> DataFrame:
 s AS (SELECT doc_id, array_to_string(string_split(t, ' ')[1:{fv.KEEP_WORDS}], ' ') AS narrative FROM c)
 SELECT doc_id, md5(narrative) AS digest, {si.sql_words('narrative')} AS word_count FROM s""")
 def truncated_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", tx.squeeze(F.col("text")).alias("narrative"))
+    docs = texts(spark, folder).select("doc_id", tx.squeeze(F.col("text")).alias("narrative"))
     return prep.truncate_text(docs).select("doc_id", F.md5("narrative").alias("digest"), "word_count")
 
 
 @query("length_band", rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count FROM documents
 WHERE len(regexp_extract_all(text, '\S+')) BETWEEN {fv.MIN_WORDS} AND {fv.MAX_WORDS}""")
 def length_band(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", tx.word_count(F.col("text")).alias("word_count"))
+    docs = texts(spark, folder).select("doc_id", tx.word_count(F.col("text")).alias("word_count"))
     return prep.length_band(docs)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.catalog import stand_ins as si
-from themescope.catalog.registry import query, table
+from themescope.catalog.registry import query, table, texts
 from themescope.functions import text as tx
 from themescope.operators import aggregates as agg, preparation as prep
 from themescope.plans.insights import generate_insights
@@ -97,7 +97,7 @@ _WORDS = r"w AS (SELECT len(regexp_extract_all(text, '\S+')) AS word_count FROM
   {', '.join(f'round(quantile_cont(word_count, {p / 100}), 6) AS p{p}' for p in (10, 25, 50, 75, 90, 99))},
   CAST(max(word_count) AS INTEGER) AS longest FROM w) SELECT *, CAST(floor(p50) AS BIGINT) AS median_words FROM p""")
 def length_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(tx.word_count(F.col("text")).alias("word_count"))
+    docs = texts(spark, folder).select(tx.word_count(F.col("text")).alias("word_count"))
     return agg.length_percentiles(docs).withColumns({
         f"p{p}": F.round(f"p{p}", 6) for p in (10, 25, 50, 75, 90, 99)
     })

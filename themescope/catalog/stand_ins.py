@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
-from themescope.catalog.registry import table
+from themescope.catalog.registry import table, texts
 
 # Words of the text that stand in for redactions.
 MASKS = [
@@ -36,7 +36,7 @@ def masked_text(text: Column) -> Column:
 
 
 def raw_complaints(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     day = F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (F.col("n_chars") % 1500).cast("int")), "yyyy-MM-dd")
     label = F.create_map(*[F.lit(x) for i, p in enumerate(PRODUCTS) for x in (f"src{i}", p)])
     es, de, en = (F.col("lang") == x for x in ("es", "de", "en"))
@@ -149,7 +149,7 @@ LABELLED = f"""labelled AS (
 def topic_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Complaints with a topic list and a cluster: the first words of each document."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("complaint_id"),
         F.slice(words, 1, 5).alias("all_topics_discussed"),
         F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("cluster_id"),

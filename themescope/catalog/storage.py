@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.catalog import stand_ins as si
-from themescope.catalog.registry import query, table
+from themescope.catalog.registry import query, table, texts
 from themescope.operators import embedding, joins
 from themescope.operators.preparation import length_band, with_clean_text
 from themescope.sources import readers, writers
@@ -89,7 +89,7 @@ def not_done_yet(spark: SparkSession, folder: str) -> DataFrame:
 @query("vector_cache_split", """SELECT count(*) FILTER (d.doc_id IN (SELECT doc_id FROM labels) AND d.lang <> 'fr') AS hits,
        count(*) FILTER (NOT (d.doc_id IN (SELECT doc_id FROM labels) AND d.lang <> 'fr')) AS misses FROM documents d""")
 def vector_cache_split(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("complaint_id"), "lang", F.col("text").alias("narrative"))
+    docs = texts(spark, folder).select(F.col("doc_id").alias("complaint_id"), "lang", F.col("text").alias("narrative"))
     known = table(spark, folder, "labels").select(F.col("doc_id").alias("complaint_id"))
     # Stored before the French texts were edited, so their digests differ.
     older = docs.join(known, "complaint_id", "left_semi").withColumn(
@@ -100,7 +100,7 @@ def vector_cache_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("missing_vectors", "SELECT doc_id AS complaint_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("complaint_id"), F.col("text").alias("narrative"))
+    docs = texts(spark, folder).select(F.col("doc_id").alias("complaint_id"), F.col("text").alias("narrative"))
     known = table(spark, folder, "labels").select(F.col("doc_id").alias("complaint_id"))
     keyed = embedding.with_feature_key(docs, "m")
     return embedding.missing_vectors(keyed, keyed.join(known, "complaint_id", "left_semi")).select("complaint_id")

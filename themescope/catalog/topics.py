@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.catalog import stand_ins as si
-from themescope.catalog.registry import query, table
+from themescope.catalog.registry import query, table, texts
 from themescope.operators import batching, embedding, extraction as ex, naming, ordering
 from themescope.functions import text as tx
 from themescope.plans.full_run import RunOptions, ledger_table, run_all
@@ -26,7 +26,7 @@ phrases AS (SELECT doc_id, phrase, score, CAST(row_number() OVER (PARTITION BY d
 
 @query("key_phrases", f"WITH {_PHRASES} SELECT doc_id, phrase, score, rank FROM phrases WHERE rank <= {fv.MAX_TOPICS_PER_ROW}")
 def key_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    return ex.key_phrases(table(spark, folder, "documents"), "doc_id", "text")
+    return ex.key_phrases(texts(spark, folder), "doc_id", "text")
 
 
 _LEXICON = rf"""CASE WHEN list_has_any(regexp_extract_all(lower(text), '(\p{{L}}{{4,}})', 1), {ex.NEGATIVE_WORDS}) THEN 'Negative'
@@ -35,7 +35,7 @@ _LEXICON = rf"""CASE WHEN list_has_any(regexp_extract_all(lower(text), '(\p{{L}}
 
 @query("lexicon_sentiment", f"SELECT {_LEXICON} AS sentiment, count(*) AS n FROM documents GROUP BY 1")
 def lexicon_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(ex.lexicon_sentiment(F.col("text")).alias("sentiment"))
+    docs = texts(spark, folder).select(ex.lexicon_sentiment(F.col("text")).alias("sentiment"))
     return docs.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -44,7 +44,7 @@ l AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY rank) AS topics FROM phrase
 SELECT doc_id, {_LEXICON} AS customer_sentiment, topics IS NOT NULL AS extraction_ok, topics
 FROM documents LEFT JOIN l USING (doc_id)""")
 def default_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return ex.default_topics(table(spark, folder, "documents"), "doc_id", "text").select(
+    return ex.default_topics(texts(spark, folder), "doc_id", "text").select(
         "doc_id", "customer_sentiment", "extraction_ok", F.array_join("all_topics_discussed", "|").alias("topics")
     )
 
@@ -100,7 +100,7 @@ def _letter_vector(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
   (length(text) + 2 * (length(text) - length(replace(text, 'a', ''))) + 3 * (length(text) - length(replace(text, 'e', '')))
    + 5 * (length(text) - length(replace(text, 's', ''))))::DOUBLE AS weighted FROM documents""")
 def model_hook(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("complaint_id"), "text")
+    docs = texts(spark, folder).select(F.col("doc_id").alias("complaint_id"), "text")
     vectors = embedding.embed_with(embedding.with_feature_key(docs, "letters", "text"), _letter_vector, "text")
     parts = [F.get("embedding", F.lit(i)).cast("double") * w for i, w in enumerate((1, 2, 3, 5))]
     return vectors.select("complaint_id", "model", sum(parts[1:], parts[0]).alias("weighted"))
@@ -132,7 +132,7 @@ def first_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("full_run")
 def full_run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
+    docs = texts(spark, folder).select(
         F.col("doc_id").alias("complaint_id"), F.col("text").alias("narrative"), F.col("source").alias("product"),
         F.date_add(F.lit("2023-01-01").cast("date"), (F.col("n_chars") % 900).cast("int")).alias("date"),
     )

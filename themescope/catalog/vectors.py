@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themescope.catalog.registry import query, table
+from themescope.catalog.registry import query, table, texts
 from themescope.functions.vectors import normalise_vectors, with_unit_features
 from themescope.operators import clustering as cl
 from themescope.operators.embedding import hashed_tfidf
@@ -104,4 +104,4 @@ def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("hashed_vectors")
 def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return hashed_tfidf(table(spark, folder, "documents"), "text").select("doc_id", "embedding")
+    return hashed_tfidf(texts(spark, folder), "text").select("doc_id", "embedding")

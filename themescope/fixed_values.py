@@ -48,12 +48,14 @@ STRATUM_FRACTION = 0.03
 
 # Text cleaning, applied in this order (Java syntax; (?U) gives \s and \d their Unicode
 # meaning, and the look-arounds are a word boundary over letters, digits and underscore).
+# Each pattern starts with its literal, so the matcher skips to candidates and tests the
+# boundary only there.
 CLEAN_RULES = [
     (r"(?U)\{\$[\d,]+\.?\d*\}", " [AMOUNT] "),
-    (r"(?U)(?<![\p{L}\p{N}_])XX/XX/(?:XXXX|\d{4})(?![\p{L}\p{N}_])", " [DATE] "),
-    (r"(?U)(?<![\p{L}\p{N}_])XX/XX(?![\p{L}\p{N}_])", " [DATE] "),
-    (r"(?U)(?<![\p{L}\p{N}_])X{2,}(?![\p{L}\p{N}_])", " [REDACTED] "),
-    (r"(?U)(?:\[REDACTED\][\s\x1c-\x1f]*){2,}", " [REDACTED] "),
+    (r"(?U)XX/XX/(?<![\p{L}\p{N}_]XX/XX/)(?:XXXX|\d{4})(?![\p{L}\p{N}_])", " [DATE] "),
+    (r"XX/XX(?<![\p{L}\p{N}_]XX/XX)(?![\p{L}\p{N}_])", " [DATE] "),
+    (r"XX(?<![\p{L}\p{N}_]XX)X*+(?![\p{L}\p{N}_])", " [REDACTED] "),
+    (r"(?U)\[REDACTED\][\s\x1c-\x1f]*(?:\[REDACTED\][\s\x1c-\x1f]*)+", " [REDACTED] "),
     (r"(?U)[\s\x1c-\x1f]+", " "),
 ]
 # A text holding none of these is changed by the whitespace rule only.

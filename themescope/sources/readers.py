@@ -64,6 +64,15 @@ def read_ids(spark: SparkSession, path: str, key: str = "complaint_id") -> DataF
     return read_table(spark, path).select(key)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly text work all cores when the table is stored in fewer splits than that.
+
+    A large table has many splits and is returned as it is: no shuffle.  Call it on a plain scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def try_read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None if nothing was written there yet."""
     try:
