@@ -75,8 +75,8 @@ def truncated_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("length_band", rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count FROM documents
 WHERE len(regexp_extract_all(text, '\S+')) BETWEEN {fv.MIN_WORDS} AND {fv.MAX_WORDS}""")
 def length_band(spark: SparkSession, folder: str) -> DataFrame:
-    docs = texts(spark, folder).select("doc_id", tx.word_count(F.col("text")).alias("word_count"))
-    return prep.length_band(docs)
+    docs = prep.with_word_count(texts(spark, folder).select("doc_id", "text"), "text")
+    return prep.length_band(docs).select("doc_id", "word_count")
 
 
 @query("usable_complaints", f"""WITH {si.CLEAN}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from themescope import fixed_values as fv
 from themescope.functions.dates import month_of, parse_utc
+from themescope.functions.lists import each_item
 from themescope.operators.small import small_side
 
 
@@ -187,7 +188,7 @@ def category_profile(
 
 def vocabulary(df: DataFrame, topics: str = "all_topics_discussed") -> DataFrame:
     """Sorted distinct topic phrases."""
-    phrases = df.select(F.explode(topics).alias("topic")).filter(F.col("topic").isNotNull())
+    phrases = each_item(df.select(F.col(topics).alias("topic")), "topic")
     return phrases.distinct().orderBy("topic")
 
 

@@ -42,7 +42,7 @@ def best_kmeans(
         ).fit(unit)
 
     with ThreadPoolExecutor(max(1, min(parallelism, starts))) as pool:
-        models = list(pool.map(inheritable_thread_target(fit), range(starts)))
+        models = list(pool.map(inheritable_thread_target(unit.sparkSession)(fit), range(starts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

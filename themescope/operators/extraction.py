@@ -13,7 +13,8 @@ from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from themescope import fixed_values as fv
-from themescope.functions.draws import draw_bucket
+from themescope.functions.lists import each_item
+from themescope.functions.nulls import or_empty
 
 # A model hook: batches of (complaint_id, text) in, batches of its output columns out.
 Hook = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -34,19 +35,18 @@ def words_of(text: Column) -> Column:
 
 def phrases_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """Two-word phrases per row, as an array column ``phrases``."""
-    worded = df.select(key, words_of(F.col(text)).alias("words"))
+    worded = df.select(key, words_of(or_empty(F.col(text))).alias("words"))
     return NGram(n=2, inputCol="words", outputCol="phrases").transform(worded)
 
 
 def _bucket(phrase: Column) -> Column:
-    return draw_bucket(F.md5(phrase), RARITY_DIGITS)
+    return F.substring(F.md5(phrase), 1, RARITY_DIGITS)
 
 
 def rarity(df: DataFrame, key: str, text: str) -> DataFrame:
     """Documents per phrase bucket: at most 16^4 rows, combined before the shuffle."""
-    distinct = phrases_of(df, key, text).select(F.explode(F.array_distinct(
-        F.transform("phrases", _bucket)
-    )).alias("bucket"))
+    buckets = F.array_distinct(F.transform("phrases", _bucket))
+    distinct = each_item(phrases_of(df, key, text).select(buckets.alias("bucket")), "bucket")
     return distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -62,14 +62,14 @@ def key_phrases(
     rows = df.agg(F.count(F.lit(1))).scalar()
     placed = phrases_of(df, key, text).select(key, "phrases").repartition(key)
     told = (
-        placed.select(key, F.explode("phrases").alias("phrase"))
+        each_item(placed.withColumnRenamed("phrases", "phrase"), "phrase")
         .groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("_tf"))
         .withColumn("bucket", _bucket(F.col("phrase")))
     )
     score = F.col("_tf") * F.ln((rows + 1.0) / (F.col("documents") + 1.0))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "phrase"))
     return (
-        told.join(F.broadcast(counts), "bucket")
+        told.join(F.broadcast(counts), "bucket", "left")  # every bucket occurs; left adds no null test
         .withColumn("score", F.round(score, 6))
         .withColumn("rank", rank)
         .filter(F.col("rank") <= top)

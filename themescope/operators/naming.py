@@ -13,7 +13,9 @@ def cluster_topics(
     topics: str = "all_topics_discussed",
 ) -> DataFrame:
     """Each cluster's distinct topics with their count and the place they were first seen."""
-    phrases = df.select(cluster, key, F.posexplode(topics).alias("pos", "topic"))
+    phrases = df.select(cluster, key, F.posexplode_outer(topics).alias("pos", "topic")).filter(
+        F.col("topic").isNotNull()
+    )
     return phrases.groupBy(cluster, "topic").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("seen")
     )

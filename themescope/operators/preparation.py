@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from themescope import fixed_values as fv
 from themescope.functions.dates import day_text, parse_utc
 from themescope.functions.nulls import has_prefix, not_listed, whole_id
-from themescope.functions.text import clean_text, squeezed_word_count, truncate_words
+from themescope.functions.text import clean_text, squeezed_word_count, truncate_words, word_count
 from themescope.operators.small import small_side
 
 
@@ -78,13 +78,19 @@ def with_clean_text(df: DataFrame, text: str = "narrative") -> DataFrame:
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Set a column whose expression is costly and whose value is used several times.
+    """Set or add a column whose expression is costly and whose value is used several times.
 
     A filter on a plain projected column is pushed below the projection, with the expression
     repeated at each use.  A generator is a barrier to that: a one-element array is exploded.
     """
     cell = F.explode(F.array(value)).alias(name)
-    return df.select(*[cell if c == name else F.col(f"`{c}`") for c in df.columns])
+    columns = df.columns if name in df.columns else [*df.columns, name]
+    return df.select(*[cell if c == name else F.col(f"`{c}`") for c in columns])
+
+
+def with_word_count(df: DataFrame, text: str = "narrative") -> DataFrame:
+    """Add ``word_count`` of text in any form."""
+    return computed_once(df, "word_count", word_count(F.col(text)))
 
 
 def length_band(df: DataFrame, low: int = fv.MIN_WORDS, high: int = fv.MAX_WORDS) -> DataFrame:

@@ -37,4 +37,6 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     flat = df.withColumns(lists) if lists else df
     if single_file:
         flat = flat.coalesce(1)
-    flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    flat.write.mode("overwrite").options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
