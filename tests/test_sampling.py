@@ -46,10 +46,12 @@ def test_balanced_sample_reaches_its_target(skewed, target):
     assert sample.filter("product is null").count() == 0
 
 
-def test_long_and_short_samples_agree(skewed, monkeypatch):
-    short = ids(smp.first_draws(skewed, 700))
-    monkeypatch.setattr(smp, "_TAKE_ORDERED_ROWS", 10)
-    assert ids(smp.first_draws(skewed, 700)) == short and len(short) == 700
+def test_first_draws_equal_a_sort_with_limit(skewed):
+    from themescope.functions.draws import draw_hash
+
+    sorted_rows = skewed.orderBy(draw_hash("complaint_id", "s"), "complaint_id").limit(700)
+    assert ids(smp.first_draws(skewed, 700, seed="s")) == ids(sorted_rows)
+    assert smp.first_draws(skewed, 50_000).count() == 20_000
 
 
 def test_thinning(skewed):

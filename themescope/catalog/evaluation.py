@@ -101,7 +101,7 @@ WHERE distinct_true_categories >= (
   SELECT greatest({fv.JUNK_MIN_CATEGORIES}, round_even(2.0 * count(DISTINCT truth) / count(DISTINCT cluster), 0)) FROM cells)
   AND purity < {fv.JUNK_MAX_PURITY}""")
 def junk_drawers(spark: SparkSession, folder: str) -> DataFrame:
-    return ct.junk_drawers(_judged_cells(spark, folder))
+    return ct.junk_drawers(ct.stored_contingency(si.judged(spark, folder), "truth", "cluster_id"))
 
 
 _COVERAGE = f"""sizes AS (SELECT truth, sum(n) AS n FROM cells GROUP BY 1), coverage AS (
@@ -124,7 +124,8 @@ SELECT coverage.*, n_rows_scored >= {fv.RELIABLE_ROWS} AS reliable, clusters,
        (SELECT round(sum(purity * size) / sum(size), 4) FROM profile) AS weighted_purity
 FROM coverage, agreement""")
 def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate_cells(_document_cells(spark, folder)).summary
+    cells = ct.stored_contingency(si.document_cells(spark, folder), "truth", "cluster_id")
+    return evaluate_cells(cells).summary
 
 
 @query("truth_join", """SELECT d.doc_id AS complaint_id, d.source AS cluster_id, l.quality AS label

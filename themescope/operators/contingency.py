@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from themescope import fixed_values as fv
 from themescope.functions.numbers import round_even
 from themescope.operators.small import small_side
+from themescope.session import cut_lineage
 
 
 def contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:
@@ -23,6 +24,11 @@ def contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     )
 
 
+def stored_contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:
+    """The same table, written once: for callers that derive several results from it."""
+    return cut_lineage(contingency(df, truth, cluster))
+
+
 def with_support(cells: DataFrame) -> DataFrame:
     """Add the size of each cell's category."""
     return cells.withColumn("support", F.sum("n").over(W.partitionBy("truth")))
@@ -124,7 +130,7 @@ def diversity_threshold(categories: Column, clusters: Column) -> Column:
 
 
 def junk_drawers(cells: DataFrame) -> DataFrame:
-    """Clusters that are unusually diffuse and impure."""
+    """Clusters that are unusually diffuse and impure.  Pass a stored table: it is read twice."""
     limit = cells.agg(
         diversity_threshold(F.countDistinct("truth"), F.countDistinct("cluster")).alias("limit")
     )

@@ -12,13 +12,16 @@ def cluster_topics(
     df: DataFrame, cluster: str = "cluster_id", key: str = "complaint_id",
     topics: str = "all_topics_discussed",
 ) -> DataFrame:
-    """Each cluster's distinct topics with their count and the place they were first seen."""
+    """Each cluster's distinct topics with their count and the place they were first seen.
+
+    The place (row key, position) is packed into one wide decimal: unlike a struct it can be
+    minimised in a hash aggregation, so the exploded rows are combined without being sorted.
+    """
     phrases = df.select(cluster, key, F.posexplode_outer(topics).alias("pos", "topic")).filter(
         F.col("topic").isNotNull()
     )
-    return phrases.groupBy(cluster, "topic").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("seen")
-    )
+    place = F.col(key).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
+    return phrases.groupBy(cluster, "topic").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("seen"))
 
 
 def topic_samples(
@@ -47,12 +50,11 @@ def distinctive_labels(
 ) -> DataFrame:
     """Default name: the topic with the highest count x ln(1 + clusters / clusters with it)."""
     counts = cluster_topics(df, cluster, key, topics).select(cluster, "topic", "n")
-    spread = counts.groupBy("topic").agg(F.count(F.lit(1)).alias("_clusters"))
     clusters = df.agg(F.countDistinct(cluster)).scalar()
-    score = F.round(F.col("n") * F.ln(1.0 + clusters / F.col("_clusters")), 6)
+    with_it = F.count(F.lit(1)).over(W.partitionBy("topic"))
     return (
-        counts.join(spread, "topic")
-        .withColumn("_score", score)
+        counts.withColumn("_clusters", with_it)
+        .withColumn("_score", F.round(F.col("n") * F.ln(1.0 + clusters / F.col("_clusters")), 6))
         .groupBy(cluster)
         .agg(F.min_by("topic", F.struct(-F.col("_score"), "topic")).alias("label"),
              F.max("_score").alias("score"))

@@ -14,7 +14,6 @@ from themescope.functions.draws import draw_bucket, draw_hash, unit_draw
 from themescope.operators.small import small_side
 
 _HISTOGRAM_DIGITS = 4
-_TAKE_ORDERED_ROWS = 100_000
 
 
 def thin_stratum(
@@ -84,12 +83,9 @@ def first_draws(
 ) -> DataFrame:
     """Exactly ``min(rows, n)`` random rows.
 
-    A short sample is a top-k.  A long one goes through the histogram, as a limit would pull
-    it into one task.
+    The whole table is one group.  A sort with a limit would give the same rows, but every task
+    would send that many wide rows to a single one; the histogram reads keys only.
     """
-    if rows <= _TAKE_ORDERED_ROWS:
-        digest = draw_hash(key, seed)
-        return df.withColumn("_digest", digest).orderBy("_digest", key).limit(rows).drop("_digest")
     marked = df.withColumn("_all", F.lit(1))
     return cap_groups(marked, "_all", rows, key, seed, digits).drop("_all")
 

@@ -24,7 +24,7 @@ class Evaluation:
 
 
 def evaluate_cells(cells: DataFrame, minimum: int = fv.MIN_CATEGORY_SUPPORT) -> Evaluation:
-    """All scores from the contingency table of the joined rows."""
+    """All scores from the (stored) contingency table of the joined rows."""
     scored = ct.supported(cells, minimum)
     profile = ct.cluster_profile(scored)
     one = F.lit(1).alias("_one")
@@ -42,9 +42,11 @@ def evaluate_clusters(
     clusters: DataFrame, truth: DataFrame, label: str = "Issue", cluster: str = "cluster_id",
     key: str = "complaint_id", minimum: int = fv.MIN_CATEGORY_SUPPORT,
 ) -> Evaluation:
-    """Join predictions with truth and score them; no matching id at all is an error."""
-    merged = need_rows(
-        with_truth(clusters.select(key, cluster), truth, label, key),
-        "no complaint id occurs in both the clusters and the truth",
-    )
-    return evaluate_cells(ct.contingency(merged, label, cluster), minimum)
+    """Join predictions with truth and score them; no matching id at all is an error.
+
+    The contingency table is stored once, so rows are joined once for all three results.
+    """
+    merged = with_truth(clusters.select(key, cluster), truth, label, key)
+    cells = ct.stored_contingency(merged, label, cluster)
+    need_rows(cells, "no complaint id occurs in both the clusters and the truth")
+    return evaluate_cells(cells, minimum)

@@ -8,7 +8,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
-from themescope.functions.numbers import round_even
 from themescope.functions.responses import read_labels
 from themescope.functions.vectors import with_unit_features
 from themescope.operators import aggregates as agg, attempts as att, clustering, embedding, extraction
@@ -78,8 +77,9 @@ def extract_topics(rows: DataFrame, options: RunOptions) -> tuple[DataFrame, dic
         "process_time", F.date_trunc("second", F.current_timestamp())
     )
     before = 0 if stored is None else stored.filter(F.col("dataset_id") == options.dataset_id).count()
-    topics = append_run(joins.successful(joined), path, options.resume and stored is not None)
-    counted = topics.filter(F.col("dataset_id") == options.dataset_id).agg(
+    written = append_run(joins.successful(joined), path, options.resume and stored is not None)
+    topics = written.filter(F.col("dataset_id") == options.dataset_id)
+    counted = topics.agg(
         F.count(F.lit(1)).alias("rows_out"), F.sum(F.size("all_topics_discussed")).alias("total_topics")
     ).first()
     rows_in = chosen.count()

@@ -43,13 +43,15 @@ def land_raw(raw: DataFrame, path: str) -> DataFrame:
     """Write the raw rows once as typed Parquet, one folder per month.
 
     Later runs then skip whole months and whole columns, and the date test is a plain pushed
-    comparison.  Rows whose date cannot be read land in the NULL month.
+    comparison.  Rows whose date cannot be read land in the NULL month.  Rows are rebalanced by
+    month before writing: a folder gets few large files, and a month that holds much of the data
+    is split over several tasks.
     """
     typed = raw.withColumns({
         "Date received": parse_utc(F.col("`Date received`")).cast("date"),
         "Complaint ID": whole_id(F.col("`Complaint ID`")),
     }).withColumn("month", F.date_format("`Date received`", "yyyy-MM"))
-    typed.write.mode("overwrite").partitionBy("month").parquet(path)
+    typed.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
     return raw.sparkSession.read.parquet(path)
 
 
