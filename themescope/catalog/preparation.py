@@ -82,7 +82,7 @@ def length_band(spark: SparkSession, folder: str) -> DataFrame:
 @query("usable_complaints", f"""WITH {si.CLEAN}
 SELECT complaint_id, date, product, issue, md5(narrative) AS digest, word_count FROM clean""")
 def usable_complaints(spark: SparkSession, folder: str) -> DataFrame:
-    return prep.load_and_clean(si.raw_complaints(spark, folder)).select(
+    return prep.load_and_clean(si.raw_complaints(spark, folder, True)).select(
         "complaint_id", "date", "product", F.col("Issue").alias("issue"),
         F.md5("narrative").alias("digest"), "word_count",
     )
@@ -92,13 +92,13 @@ def usable_complaints(spark: SparkSession, folder: str) -> DataFrame:
 SELECT complaint_id, strftime(date, '%Y-%m-%d') AS date, product, sub_product, company, state, channel,
        md5(narrative) AS narrative, word_count FROM clean""")
 def input_table(spark: SparkSession, folder: str) -> DataFrame:
-    seen, _ = prep.split_truth(prep.load_and_clean(si.raw_complaints(spark, folder)))
+    seen, _ = prep.split_truth(prep.load_and_clean(si.raw_complaints(spark, folder, True)))
     return prep.with_day_text(seen).withColumn("narrative", F.md5("narrative"))
 
 
 @query("truth_table", f"""WITH {si.CLEAN} SELECT complaint_id, issue, sub_issue FROM clean""")
 def truth_table(spark: SparkSession, folder: str) -> DataFrame:
-    _, truth = prep.split_truth(prep.load_and_clean(si.raw_complaints(spark, folder)))
+    _, truth = prep.split_truth(prep.load_and_clean(si.raw_complaints(spark, folder, True)))
     return truth.withColumnsRenamed({"Issue": "issue", "Sub-issue": "sub_issue"})
 
 

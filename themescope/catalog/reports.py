@@ -24,7 +24,7 @@ def _bundle(spark: SparkSession, folder: str, **options: object) -> dict[str, Da
 @query("category_shares", f"""WITH {si.CLEAN}
 SELECT product, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM clean GROUP BY product""")
 def category_shares(spark: SparkSession, folder: str) -> DataFrame:
-    clean = prep.load_and_clean(si.raw_complaints(spark, folder)).select("product")
+    clean = prep.load_and_clean(si.raw_complaints(spark, folder, True)).select("product")
     return agg.with_row_shares(clean, "product").withColumn("share", F.round("share", 6))
 
 
@@ -118,7 +118,7 @@ SELECT d.product, count(*) AS rows, count(narrative) AS with_text, round(count(n
        quantile_cont(words, 0.5) AS median_words
 FROM d LEFT JOIN j USING (product) GROUP BY d.product""")
 def category_profile(spark: SparkSession, folder: str) -> DataFrame:
-    raw = prep.select_renamed(si.raw_complaints(spark, folder)).withColumn(
+    raw = prep.select_renamed(si.raw_complaints(spark, folder, True)).withColumn(
         "word_count", tx.word_count(F.col("narrative"))
     )
     return agg.category_profile(raw).withColumns({

@@ -96,7 +96,7 @@ _SET = PrepareOptions(target=_TARGET)
 cut AS (SELECT complaint_id, product, array_to_string(string_split(narrative, ' ')[1:{fv.KEEP_WORDS}], ' ') AS t FROM picked)
 SELECT complaint_id, product, md5(t) AS digest, {si.sql_words('t')} AS word_count FROM cut""")
 def working_set(spark: SparkSession, folder: str) -> DataFrame:
-    clean = cut_lineage(prep.load_and_clean(si.raw_complaints(spark, folder)))
+    clean = cut_lineage(prep.load_and_clean(si.raw_complaints(spark, folder, True)))
     seen = build_working_set(clean, _SET).input
     return seen.select("complaint_id", "product", F.md5("narrative").alias("digest"), "word_count")
 
@@ -105,6 +105,6 @@ def working_set(spark: SparkSession, folder: str) -> DataFrame:
 SELECT complaint_id, issue, sub_issue FROM picked
 ORDER BY {si.sql_draw('complaint_id', f'{_SEED}-holdout')}, complaint_id LIMIT {fv.HOLDOUT_ROWS}""")
 def working_set_holdout(spark: SparkSession, folder: str) -> DataFrame:
-    clean = cut_lineage(prep.load_and_clean(si.raw_complaints(spark, folder)))
+    clean = cut_lineage(prep.load_and_clean(si.raw_complaints(spark, folder, True)))
     held = build_working_set(clean, _SET).holdout
     return held.withColumnsRenamed({"Issue": "issue", "Sub-issue": "sub_issue"})

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.catalog.registry import table, texts
+from themescope.operators.preparation import computed_once
 
 # Words of the text that stand in for redactions.
 MASKS = [
@@ -35,8 +36,12 @@ def masked_text(text: Column) -> Column:
     return reduce(lambda c, m: F.replace(c, F.lit(m[0]), F.lit(m[1])), MASKS, text)
 
 
-def raw_complaints(spark: SparkSession, folder: str) -> DataFrame:
-    docs = texts(spark, folder)
+def raw_complaints(spark: SparkSession, folder: str, for_cleaning: bool = False) -> DataFrame:
+    """Raw rows.  ``for_cleaning`` masks the texts once, for queries that go on to read them;
+    otherwise masking is left out of plans that do not need the text."""
+    docs, masked = texts(spark, folder), masked_text(F.col("text"))
+    if for_cleaning:
+        docs, masked = computed_once(docs, "masked", masked), F.col("masked")
     day = F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (F.col("n_chars") % 1500).cast("int")), "yyyy-MM-dd")
     label = F.create_map(*[F.lit(x) for i, p in enumerate(PRODUCTS) for x in (f"src{i}", p)])
     es, de, en = (F.col("lang") == x for x in ("es", "de", "en"))
@@ -45,7 +50,7 @@ def raw_complaints(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("lang") == "fr", F.concat(day, F.lit("T09:07:47Z"))).otherwise(day).alias("Date received"),
         F.try_element_at(label, "source").alias("Product"),
         F.col("lang").alias("Sub-product"),
-        F.when(F.col("n_chars") >= 120, masked_text(F.col("text"))).alias("Consumer complaint narrative"),
+        F.when(F.col("n_chars") >= 120, masked).alias("Consumer complaint narrative"),
         F.upper("source").alias("Company"),
         F.upper("lang").alias("State"),
         F.lit("Web").alias("Submitted via"),
