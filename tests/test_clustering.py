@@ -73,8 +73,11 @@ def test_ties_go_to_the_lower_centroid(spark):
 
 
 def test_too_many_clusters_for_a_task(spark, monkeypatch):
-    monkeypatch.setattr(cl, "MAX_TABLE_VALUES", 4)
     centres = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "centroid_id long, embedding array<float>")
+    monkeypatch.setattr(cl, "MAX_TABLE_VALUES", 4)
+    with pytest.raises(ValueError, match="3 clusters of width 2"):
+        cl.assign_to_centroids(centres, centres)
+    monkeypatch.setattr(cl, "MAX_CLUSTERS", 2)
     with pytest.raises(ValueError, match="more than 2"):
         cl.assign_to_centroids(centres, centres)
 

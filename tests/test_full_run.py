@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from themescope.operators import extraction as ex, naming
+from themescope.schemas import INPUT, OUTPUT
 from themescope.plans.full_run import RunOptions, ledger_table, run_all
 
 # The hooks below run inside tasks, which cannot import this file.
@@ -77,6 +78,9 @@ def test_defaults(spark, rows, tmp_path):
     result = run_all(rows, options)
     assert result.ledger[0]["rows_in"] == 60
     assert result.output.select("complaint_id").distinct().count() == result.output.count()
+    made = dict(result.output.dtypes)
+    for field in set(OUTPUT.fields) - set(INPUT.fields):
+        assert made[field.name] == field.dataType.simpleString()
     assert set(result.reports) >= {"top_themes", "theme_by_product", "sentiment_shares", "monthly_trend"}
     assert ledger_table(spark, result.ledger).filter("measure = 'rows_in'").first().value == "60"
 

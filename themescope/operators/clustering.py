@@ -22,7 +22,9 @@ from themescope.functions.vectors import FEATURES, as_matrix
 from themescope.operators.guards import need_more_rows_than
 from themescope.operators.small import small_side
 
-# Cluster tables (clusters x dimensions doubles) are sent to every task up to this size.
+# A table of clusters is sent to every task if it stays within these bounds (clusters, and
+# clusters x dimensions).
+MAX_CLUSTERS = 20_000
 MAX_TABLE_VALUES = 32_000_000
 
 
@@ -77,12 +79,14 @@ def inertia(unit: DataFrame, cluster: str) -> DataFrame:
     return cluster_table(unit, cluster).select(cluster, "n", spread.alias("inertia"))
 
 
-def _bounded_rows(table: DataFrame, vector: str) -> pa.Table:
-    width = table.select(F.size(vector)).first()
-    limit = MAX_TABLE_VALUES // max(width[0] if width else 1, 1)
-    rows = table.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"more than {limit} clusters of this width: cluster tables would not fit a task")
+def _local_table(table: DataFrame, order: str, vector: str) -> pa.Table:
+    """One row per cluster, in order, on the driver: a single job behind a size check."""
+    rows = table.limit(MAX_CLUSTERS + 1).toArrow().sort_by(order)
+    if rows.num_rows > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters: their table would not fit every task")
+    width = len(rows.column(vector)[0]) if rows.num_rows else 0
+    if rows.num_rows * width > MAX_TABLE_VALUES:
+        raise ValueError(f"{rows.num_rows} clusters of width {width} would not fit every task")
     return rows
 
 
@@ -92,7 +96,7 @@ def point_silhouettes(unit: DataFrame, cluster: str) -> DataFrame:
     The mean distance to a cluster is 1 - x.S/n with S the sum of its unit vectors; in the
     point's own cluster the point itself is left out.
     """
-    table = _bounded_rows(cluster_table(unit, cluster).orderBy(cluster), "vector_sum")
+    table = _local_table(cluster_table(unit, cluster), cluster, "vector_sum")
     names = np.array(table.column(cluster).to_pylist())
     shared = unit.sparkSession.sparkContext.broadcast((
         names, np.asarray(table.column("n").to_pylist(), dtype=np.float64),
@@ -167,7 +171,7 @@ def assign_to_centroids(
     df: DataFrame, centroids: DataFrame, vector: str = "embedding", centroid_id: str = "centroid_id"
 ) -> DataFrame:
     """Add the id of the nearest centroid and the squared distance; ties go to the lower id."""
-    table = _bounded_rows(centroids.select(centroid_id, vector).orderBy(centroid_id), vector)
+    table = _local_table(centroids.select(centroid_id, vector), centroid_id, vector)
     shared = df.sparkSession.sparkContext.broadcast((
         np.asarray(table.column(centroid_id).to_pylist(), dtype=np.int64),
         as_matrix(table.column(vector).combine_chunks()),

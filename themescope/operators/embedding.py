@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from themescope.operators.extraction import Hook, run_hook
+from themescope.schemas import FEATURES
 
 FEATURE_KEY = ["complaint_id", "model", "text_hash"]
 
@@ -50,5 +51,4 @@ def cache_split(keyed: DataFrame, features: DataFrame) -> DataFrame:
 def embed_with(df: DataFrame, hook: Hook, text: str = "narrative") -> DataFrame:
     """Vectors from a caller's model: it gets ``(complaint_id, model, text_hash, text)`` batches and
     yields ``(complaint_id, model, text_hash, embedding)``."""
-    schema = "complaint_id bigint, model string, text_hash string, embedding array<float>"
-    return run_hook(df, hook, schema, [*FEATURE_KEY, text])
+    return run_hook(df, hook, FEATURES, [*FEATURE_KEY, text])

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from themescope import fixed_values as fv
 from themescope.functions.lists import each_item
@@ -107,6 +108,6 @@ def default_topics(df: DataFrame, key: str = "complaint_id", text: str = "narrat
     )
 
 
-def run_hook(df: DataFrame, hook: Hook, schema: str, columns: list[str]) -> DataFrame:
+def run_hook(df: DataFrame, hook: Hook, schema: str | StructType, columns: list[str]) -> DataFrame:
     """Run a caller's model over Arrow batches of the given columns."""
     return df.select(*columns).mapInPandas(hook, schema)

@@ -109,7 +109,7 @@ def balanced_sample(
     it is costly to derive.
     """
     grouped = df.filter(F.col(group).isNotNull())
-    sizes = grouped.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = small_side(grouped.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     categories = sizes.count()
     cap = category_cap(categories, target)
     picked = sizes.agg(F.sum(F.least("_n", F.lit(cap))).alias("picked")).first().picked or 0

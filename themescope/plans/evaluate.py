@@ -12,7 +12,7 @@ from themescope.operators import contingency as ct
 from themescope.operators.guards import need_rows
 from themescope.operators.joins import with_truth
 
-# Which held-out label to score against, and the column that carries it.
+# Names of the two truths to score against, and the columns that carry them.
 TRUTH_LABELS = {"issue": "Issue", "product": "product"}
 
 
@@ -39,13 +39,16 @@ def evaluate_cells(cells: DataFrame, minimum: int = fv.MIN_CATEGORY_SUPPORT) ->
 
 
 def evaluate_clusters(
-    clusters: DataFrame, truth: DataFrame, label: str = "Issue", cluster: str = "cluster_id",
+    clusters: DataFrame, truth: DataFrame, label: str = "issue", cluster: str = "cluster_id",
     key: str = "complaint_id", minimum: int = fv.MIN_CATEGORY_SUPPORT,
 ) -> Evaluation:
     """Join predictions with truth and score them; no matching id at all is an error.
 
+    ``label`` is a column of ``truth``, or one of the names in ``TRUTH_LABELS``.
+
     The contingency table is stored once, so rows are joined once for all three results.
     """
+    label = TRUTH_LABELS.get(label, label)
     merged = with_truth(clusters.select(key, cluster), truth, label, key)
     cells = ct.stored_contingency(merged, label, cluster)
     need_rows(cells, "no complaint id occurs in both the clusters and the truth")

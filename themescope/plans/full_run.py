@@ -17,15 +17,10 @@ from themescope.operators.guards import need_more_rows_than
 from themescope.operators.ordering import first_rows
 from themescope.operators.preparation import require_columns
 from themescope.plans.insights import generate_insights
+from themescope.schemas import RESPONSES
 from themescope.sources.readers import read_features, try_read
 from themescope.sources.writers import append_run, write_stage
 
-ATTEMPT_SCHEMA = (
-    "dataset_id string, complaint_id bigint, model string, model_rank int, attempt int, status int, "
-    "error_type string, raw string, prompt_tokens bigint, completion_tokens bigint"
-)
-
-
 @dataclass(frozen=True)
 class RunOptions:
     """Where tables go, how much to process, and the caller's models (None: the defaults)."""
@@ -63,7 +58,7 @@ def extract_topics(rows: DataFrame, options: RunOptions) -> tuple[DataFrame, dic
     if options.extract_hook:
         raw = extraction.run_hook(
             todo.withColumn("narrative", F.coalesce("narrative", F.lit(""))), options.extract_hook,
-            ATTEMPT_SCHEMA, ["dataset_id", "complaint_id", "narrative"],
+            RESPONSES, ["dataset_id", "complaint_id", "narrative"],
         )
         # Model calls are paid for: their answers are stored before anything reads them twice.
         attempts = append_run(raw, f"{options.folder}/attempts", options.resume)
