@@ -30,7 +30,7 @@ MAX_TABLE_VALUES = 32_000_000
 
 def best_kmeans(
     unit: DataFrame, k: int, starts: int = fv.KMEANS_STARTS, seed: int = fv.SEED,
-    max_iter: int = 100, parallelism: int = 4,
+    max_iter: int = 100, parallelism: int = 8,
 ) -> KMeansModel:
     """The cheapest of several k-means runs over ``features``.
 
