@@ -1,6 +1,6 @@
 """Ordered signature rules: one row per rule, made from families and forms.
 
-A family has a label, the keyword that must stand in a text before any of its rules is tried, and a
+A family has a label, the keyword (a whole word) that must stand in a text before any of its rules is tried, and a
 pattern of its name in normalised words (ASCII lower case, one space between words).  Each form wraps
 that name into one kind of notice.  Longer forms have the higher priority: a full notice says more than
 a bare mention inside it.
@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 
 class Rule(NamedTuple):
-    order: int
+    rank: int
     priority: int
     weight: float
     label: str
@@ -36,20 +36,22 @@ FAMILIES = [
     ("gpl-1.0", "general", r"gnu general public licen[cs]e(?: version)? 1(?: 0)?"),
     ("gpl-2.0", "general", r"gnu general public licen[cs]e(?: version)? 2(?: 0)?"),
     ("gpl-3.0", "general", r"gnu general public licen[cs]e(?: version)? 3(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl v?2(?: 0)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl v?3(?: 0)?"),
+    ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2"),
+    ("gpl-3.0", "gplv3", r"(?:gnu )?gplv3"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl ?v?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2 1"),
-    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl v?2(?: 0)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl v?2 1"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl v?3(?: 0)?"),
     ("lgpl-2.1", "lesser", r"gnu lesser general public licen[cs]e(?: version)? 2 1"),
     ("lgpl-3.0", "lesser", r"gnu lesser general public licen[cs]e(?: version)? 3(?: 0)?"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl v?3(?: 0)?"),
     ("agpl-3.0", "affero", r"gnu affero general public licen[cs]e(?: version)? 3(?: 0)?"),
     ("mpl-1.0", "mozilla", r"mozilla public licen[cs]e(?: version)? 1 0"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e(?: version)? 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e(?: version)? 2(?: 0)?"),
-    ("mpl-2.0", "mpl", r"mpl ?v?2(?: 0)?"),
+    ("mpl-2.0", "mpl", r"mpl v?2(?: 0)?"),
     ("epl-1.0", "eclipse", r"eclipse public licen[cs]e(?: version)? 1(?: 0)?"),
     ("epl-2.0", "eclipse", r"eclipse public licen[cs]e(?: version)? 2(?: 0)?"),
     ("edl-1.0", "eclipse", r"eclipse distribution licen[cs]e(?: version)? 1(?: 0)?"),
@@ -119,7 +121,7 @@ NOTICES = [
     ("zlib", "warranty", 60, 0.9, r"this software is provided as is without any express or implied warranty\b"),
     ("gpl", "redistribute", 60, 1.0, r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e\b"),
     ("apache-2.0", "apache", 60, 1.0, r"you may not use this file except in compliance with the licen[cs]e\b"),
-    ("unknown-license", "license", 1, 0.3, r"licen[cs]ed? under\b"),
+    ("unknown-license", "under", 1, 0.3, r"licen[cs]ed? under\b"),
 ]
 
 

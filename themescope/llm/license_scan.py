@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 from functools import reduce
 from operator import or_
@@ -14,23 +15,25 @@ from themescope.llm.license_rules import ANCHORS, Rule, rules as all_rules
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_RULES = "array<struct<rank:int,priority:int,weight:double,label:string,keyword:string,pattern:string>>"
 _SEEN = "array<struct<first:int,last:int,priority:int,rank:int,label:string,weight:double>>"
 
 
 def _gate(text):
     """Texts that can match anything at all: each rule needs one of the anchors of its form, each base
     phrase "licen" or the words of the last test."""
-    low = F.lower(text)
-    anchored = reduce(or_, [F.contains(low, F.lit(a)) for a in ANCHORS])
+    anchored = F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [F.contains(low, F.lit(a)) for a in ANCHORS]))
     return anchored | text.rlike(r"[cC][cC][^0-9A-Za-z\x80-\x{10FFFF}]+[bB][yY][^0-9A-Za-z\x80-\x{10FFFF}]+[nN][cC]")
 
 
 def _words_in(text):
     """Number of words, from the parts between them; an outer part is empty where the text does not
     begin or end with a word."""
-    parts = F.split(text, _NOT_WORD)
-    return (F.size(parts) - F.when(parts[0] == "", 1).otherwise(0)
-            - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long")
+    def inner(parts):
+        return (F.size(parts) - F.when(parts[0] == "", 1).otherwise(0)
+                - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long")
+
+    return F.transform(F.array(F.split(text, _NOT_WORD)), inner)[0]  # one split for all three uses
 
 
 def _base(words):
@@ -57,10 +60,7 @@ def _count(words):
 
 def _detections(text, table: list[Rule]):
     """Matches of all rules whose keyword is there, as [first, last) character runs."""
-    entries = F.array(*[
-        F.struct(F.lit(r.order).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
-                 F.lit(r.label).alias("label"), F.lit(" " + r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"))
-        for r in table])
+    entries = F.from_json(F.lit(json.dumps([r._asdict() for r in table])), _RULES)
 
     def places(rule):
         hits = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
@@ -79,8 +79,11 @@ def _detections(text, table: list[Rule]):
 
         return F.aggregate(lengths, start, step, lambda acc: acc["seen"])
 
-    live = F.filter(entries, lambda r: F.contains(text, r["keyword"]))
-    return F.flatten(F.transform(live, places))
+    known = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])
+    present = F.array(F.array_intersect(F.split(text, " "), known))
+    live = F.flatten(F.transform(present, lambda words: F.filter(
+        entries, lambda r: F.array_contains(words, r["keyword"]))))
+    return F.when(text.isNotNull(), F.flatten(F.transform(live, places)))
 
 
 def _standing(seen):
