@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-from themescope.llm import decontaminate, exact_dedup, license_scan
+from themescope.llm import bpe, decontaminate, exact_dedup, license_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_warc_records")
+def op1(spark, folder):
+    return warc.round_trip(spark, table(spark, folder, "pages"))
+
+
 @query("op3_license_scan")
 def op3(spark, folder):
     return license_scan.license_scan(table(spark, folder, "documents"))
@@ -45,6 +49,18 @@ def op4(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """A public vocabulary file, which every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_bpe")
+def op7(spark, folder):
+    return bpe.encode_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
