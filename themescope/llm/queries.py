@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.llm import bpe, decontaminate, exact_dedup, license_scan, warc
+from themescope.llm import bpe, decontaminate, exact_dedup, license_scan, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,16 @@ def op4(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op6_quality_classifier")
+def op6(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_toxicity")
+def op8(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def vocabulary(name: str) -> str:
     """A public vocabulary file, which every executor has."""
     import public_tokenizers
