@@ -39,9 +39,9 @@ _LATER_LOWER = {
     0x1c89: 0x1c8a, 0xa7cb: 0x264, 0xa7cc: 0xa7cd, 0xa7ce: 0xa7cf, 0xa7d2: 0xa7d3, 0xa7d4: 0xa7d5, 0xa7da: 0xa7db,
     0xa7dc: 0x19b, **{c: c + 0x20 for c in range(0x10d50, 0x10d66)}, **{c: c + 0x1b for c in range(0x16ea0, 0x16eb9)},
 }
-#: Words of which a task remembers the ids; the memory starts anew when full.
-REMEMBERED_WORDS = 400_000
-#: Longer words are encoded each time they come.
+#: Runs without white space of which a task remembers the ids, in each half of its memory.
+REMEMBERED_WORDS = 350_000
+#: Longer ones are encoded each time they come.
 REMEMBERED_LENGTH = 64
 
 
@@ -141,7 +141,8 @@ class WordBpe:
         self.spaces = regex.compile(r"\s+").sub
         self.marks = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
         self.letters = byte_letters()
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def encode_word(self, word: str) -> list[int]:
         letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -149,31 +150,49 @@ class WordBpe:
         vocab = self.vocab
         return merge_word([vocab[x] for x in letters if x in vocab], self.ranks)
 
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids of a run without white space, as little-endian 32-bit integers, and their decoding."""
+        ids = [i for word in self.words(chunk) for i in self.encode_word(word)]
+        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+
+    def _missing(self, chunk: str) -> tuple[bytes, str]:
+        """From the older half of the memory, or anew; the younger half takes its place when full."""
+        found = self.older.get(chunk) or self._chunk(chunk)
+        if len(chunk) <= REMEMBERED_LENGTH:
+            if len(self.cache) >= REMEMBERED_WORDS:
+                self.older, self.cache = self.cache, {}
+            self.cache[chunk] = found
+        return found
+
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        text = _lower(self.spaces(" ", text))
-        cache = self.cache
-        for word in self.words(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self.encode_word(word)
-                if len(word) <= REMEMBERED_LENGTH:
-                    if len(cache) >= REMEMBERED_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            out += ids
+        if _SEPARATORS.search(text):  # str.split takes these for white space, the pattern does not
+            chunks = [x for x in self.spaces(" ", text).split(" ") if x]
+            chunks = [_lower(x) for x in chunks]
+        else:
+            chunks = _lower(text).split()
+        get = self.cache.get  # a full memory is replaced; the old one stays right for the rest of this text
+        return [get(x) or self._missing(x) for x in chunks]
+
+    def parts(self, text: str) -> list[tuple[bytes, str]]:
+        """Encoded and decoded runs of a text, special tokens among them."""
+        if not self.marks or "<|" not in text:
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            i = self.special[m[0]]
+            out += self._plain(text[at: m.start()])
+            out.append((np.array([i], "<u4").tobytes(), self.names[i]))
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def encode_bytes(self, text: str) -> tuple[bytes, str]:
+        parts = [x for x in self.parts(text) if x[0]]
+        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
-        if self.marks and "<|" in text:
-            for m in self.marks.finditer(text):
-                self._plain(text[at: m.start()], out)
-                out.append(self.special[m[0]])
-                at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
+        return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings of the ids, one space between them."""
@@ -191,6 +210,7 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
 _LATER = regex.compile("[" + "".join(map(chr, _LATER_LOWER)) + "]")
 
 
@@ -224,13 +244,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(a, b - a)
                 counts, idsums, textsums, every, decoded = [], [], [], [], []
                 for text in part.column(text_col).to_pylist():
-                    ids = bpe.encode(text or "")
-                    plain = bpe.decode(ids)
-                    counts.append(len(ids))
-                    idsums.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    ids, plain = bpe.encode_bytes(text or "")
+                    counts.append(len(ids) // 4)
+                    idsums.append(hashlib.sha256(ids).hexdigest())
                     textsums.append(hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest())
                     if with_ids:
-                        every.append(ids)
+                        every.append(np.frombuffer(ids, "<u4").astype(np.int32))
                     if with_text:
                         decoded.append(plain)
                 columns = [part.column(f.name) for f in fields]
