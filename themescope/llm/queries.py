@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.llm import bpe, decontaminate, exact_dedup, license_scan, quality, toxicity, warc
+from themescope.llm import (
+    bpe, decontaminate, exact_dedup, license_scan, phrase_dedup, quality, substring_dedup, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,11 @@ def op1(spark, folder):
     return warc.round_trip(spark, table(spark, folder, "pages"))
 
 
+@query("op2_substring_dedup")
+def op2(spark, folder):
+    return substring_dedup.report(substring_dedup.remove_repeats(table(spark, folder, "documents")))
+
+
 @query("op3_license_scan")
 def op3(spark, folder):
     return license_scan.license_scan(table(spark, folder, "documents"))
@@ -93,3 +100,8 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 def op9(spark, folder):
     return decontaminate.report(decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op10_phrase_dedup")
+def op10(spark, folder):
+    return phrase_dedup.report(phrase_dedup.remove_recurring(table(spark, folder, "documents")))
