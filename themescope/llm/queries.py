@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from themescope.llm import (
-    bpe, decontaminate, exact_dedup, license_scan, phrase_dedup, quality, substring_dedup, toxicity, warc,
+    bpe, decontaminate, exact_dedup, jaccard, license_scan, phrase_dedup, quality, substring_dedup, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,11 @@ def op4(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op5_jaccard_join")
+def op5(spark, folder):
+    return jaccard.similar_groups(table(spark, folder, "documents"))
+
+
 @query("op6_quality_classifier")
 def op6(spark, folder):
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -105,3 +111,6 @@ def op9(spark, folder):
 @query("op10_phrase_dedup")
 def op10(spark, folder):
     return phrase_dedup.report(phrase_dedup.remove_recurring(table(spark, folder, "documents")))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
