@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from themescope.llm.common import with_ids, with_row_key
-from themescope.llm.repeats import WORDS, Unit, first_look, groups_by_key, known, resolved, second_look, starts_batch
+from themescope.llm.hashing import Words
+from themescope.llm.repeats import (
+    WORDS, Unit, first_look, groups_by_key, hot_blocks, known, resolved, second_look, starts_batch,
+)
 
 _SCHEMA = "n_words long, n_removed long, kept_sha256 string, spans array<array<int>>"
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
@@ -33,14 +36,18 @@ def _finish(raw: bytes, runs):
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [list(r) for r in runs]
 
 
-def _segments(window: int):
+def _segments(unit: Unit):
+    window = unit.window
+
     def segment(raw, keys, lows, highs, hots):
         words, out = raw.split(), []
         for key, lo, hi, hot in zip(keys, lows, highs, hots):
-            names = [hashlib.blake2b(b" ".join(words[i: i + window]), digest_size=16).digest()
-                     for i in range(lo, hi + 1)] if hot else None
-            out.append({"key": key, "lo": lo, "hi": hi, "hot": hot,
-                        "body": None if hot else b" ".join(words[lo: hi + window]), "names": names})
+            body, blocks = b" ".join(words[lo: hi + window]), None
+            if hot:
+                data = np.frombuffer(body, np.uint8)
+                hashes = Words(data, np.array([0, len(data)]), "visible", lower=False).hash
+                blocks = hot_blocks(hashes, hi - lo + 1, unit, lambda i, j: b" ".join(words[lo + i: lo + j + window]))
+            out.append({"key": key, "lo": lo, "hi": hi, "hot": hot, "body": None if hot else body, "blocks": blocks})
         return out
 
     return segment
@@ -99,7 +106,7 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     keyed = with_row_key(docs, id_col, text_col)
     marks = known(keyed[0], text_col, unit, first_stays=True)
-    looked = first_look(keyed[0], marks, text_col, unit, _finish, _SCHEMA, _TYPES, _NAMES, _segments(unit.window))
+    looked = first_look(keyed[0], marks, text_col, unit, _finish, _SCHEMA, _TYPES, _NAMES, _segments(unit))
     result = second_look(looked, resolved(looked, _compare(unit.window), True), unit, _finish, _SCHEMA, _TYPES, _NAMES)
     return with_ids(result, keyed, id_col).select(id_col, *_NAMES)
 

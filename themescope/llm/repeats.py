@@ -12,6 +12,7 @@ repeated passages, are single windows compared, once for each distinct context.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -152,12 +153,30 @@ def runs_of(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 Finish = Callable[[bytes, list[tuple[int, int]]], tuple]
-Segment = Callable[[bytes, list[tuple[int, int]]], list[bytes]]
 
-_SEGMENTS = "segments array<struct<key:long,lo:int,hi:int,hot:boolean,body:binary,names:array<binary>>>"
+_BLOCK = "struct<at:int,size:int,name:binary,names:array<binary>>"
+_SEGMENTS = f"segments array<struct<key:long,lo:int,hi:int,hot:boolean,body:binary,blocks:array<{_BLOCK}>>>"
 _SEGMENT_TYPE = pa.list_(pa.struct([
     ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("hot", pa.bool_()), ("body", pa.binary()),
-    ("names", pa.list_(pa.binary()))]))
+    ("blocks", pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("name", pa.binary()),
+                                   ("names", pa.list_(pa.binary()))])))]))
+#: Successive windows of a hot key that are named together.
+BLOCK = 8
+
+
+def hot_blocks(values: np.ndarray, count: int, unit: Unit, text) -> list[dict]:
+    """The ``count`` windows of a hot interval in blocks that are aligned to its anchor, so that equal windows
+    stand at equal places of their blocks; ``text(i, j)`` is what the windows i to j span."""
+    sums = running(values)
+    at = np.arange(unit.near)
+    anchor = int(smallest_in_window(span(sums, at, at + unit.gram), unit.near)[0])
+    name = lambda i, j: hashlib.blake2b(text(i, j), digest_size=16).digest()
+    out, i = [], 0
+    while i < count:
+        j = min(count - 1, i + (anchor - i) % BLOCK)
+        out.append({"at": i, "size": j - i + 1, "name": name(i, j) + bytes([j - i]), "names": [name(x, x) for x in range(i, j + 1)]})
+        i = j + 1
+    return out
 
 
 def first_look(keyed: DataFrame, marks: DataFrame, text_col: str, unit: Unit, finish: Finish, schema: str,
@@ -199,28 +218,41 @@ def first_look(keyed: DataFrame, marks: DataFrame, text_col: str, unit: Unit, fi
 
 
 def hot_windows(segments: DataFrame, first_stays: bool) -> DataFrame:
-    """Starts of the windows of hot keys that go: each window is a row, equal ones are combined in each
-    task before they meet, and the table of those that occur twice is stored before it is joined."""
-    rows = segments.filter("s.hot").select(ROW_KEY, F.col("s.lo").alias("lo"), F.posexplode("s.names").alias("pos", "name"))
-    rows = rows.select(ROW_KEY, (F.col("lo") + F.col("pos")).alias("start"), "name")
-    twice = stored(rows.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place(ROW_KEY, "start")).alias("first")).filter("n > 1").drop("n"), "hot-windows")
-    found = rows.join(twice, "name")
+    """Runs of windows of hot keys that go, as (_k, lo, hi).
+
+    Whole blocks are compared first; only blocks without an equal, and one of each kind of equal ones, are
+    then compared window by window.  Equal names are combined in each task before they meet, and the table
+    of those that occur twice is stored before it is joined, so Spark can split a hot name.
+    """
+    def twice(rows: DataFrame, what: str) -> DataFrame:
+        return stored(rows.groupBy("name").agg(
+            F.count(F.lit(1)).alias("n"), F.min(place(ROW_KEY, "lo")).alias("first")).filter("n > 1").drop("n"), what)
+
+    blocks = segments.filter("s.hot").select(ROW_KEY, F.col("s.lo").alias("base"), F.explode("s.blocks").alias("b")).select(
+        ROW_KEY, (F.col("base") + F.col("b.at")).alias("lo"), (F.col("base") + F.col("b.at") + F.col("b.size") - 1).alias("hi"),
+        F.col("b.name").alias("name"), F.col("b.names").alias("names"))
+    blocks = stored(blocks.join(twice(blocks, "hot-blocks"), "name", "left"), "hot-blocks-met")
+    own = F.col("first") == place(ROW_KEY, "lo")
+    gone = blocks.filter(F.col("first").isNotNull() & (~own if first_stays else F.lit(True)))
+    single = blocks.filter(F.col("first").isNull() | own).select(ROW_KEY, "lo", F.posexplode("names").alias("at", "name"))
+    single = single.select(ROW_KEY, (F.col("lo") + F.col("at")).alias("lo"), "name")
+    found = single.join(twice(single, "hot-windows"), "name")
     if first_stays:
-        found = found.filter(place(ROW_KEY, "start") != F.col("first"))
-    return found.select(ROW_KEY, F.col("start").cast("int").alias("start"))
+        found = found.filter(~own)
+    return gone.select(ROW_KEY, "lo", "hi").unionByName(found.select(ROW_KEY, "lo", F.col("lo").alias("hi")))
 
 
 def resolved(looked: DataFrame, compare, first_stays: bool) -> DataFrame:
-    """Starts of open windows that go, as lists per document.  Cold keys go to shards by key, hot ones
+    """Runs of open windows that go, as lists per document of [first, last start].  Cold keys go to shards by key, hot ones
     window by window."""
     segments = looked.filter("segments IS NOT NULL").select(ROW_KEY, F.explode("segments").alias("s"))
     cold = (segments.filter("NOT s.hot").select(F.col("s.key").alias("key"), ROW_KEY, F.col("s.lo").alias("lo"),
                                                 F.col("s.hi").alias("hi"), F.col("s.body").alias("body"))
             .repartition(F.col("key")).sortWithinPartitions("key"))
-    shards = cold.mapInArrow(compare, f"{ROW_KEY} long, start int")
+    shards = cold.mapInArrow(compare, f"{ROW_KEY} long, start int").select(
+        ROW_KEY, F.col("start").alias("lo"), F.col("start").alias("hi"))
     return (shards.unionByName(hot_windows(segments, first_stays))
-            .groupBy(ROW_KEY).agg(F.collect_list("start").alias("starts")))
+            .groupBy(ROW_KEY).agg(F.collect_list(F.array("lo", "hi")).alias("starts")))
 
 
 def second_look(looked: DataFrame, starts: DataFrame, unit: Unit, finish: Finish, schema: str,
@@ -234,8 +266,8 @@ def second_look(looked: DataFrame, starts: DataFrame, unit: Unit, finish: Finish
             out = [[] for _ in types]
             for i in range(batch.num_rows):
                 runs = np.array(gone[i].as_py(), np.int64).reshape(-1, 2)
-                extra = np.array(more[i].as_py() or [], np.int64)
-                lo, hi = np.append(runs[:, 0], extra), np.append(runs[:, 1], extra + unit.window)
+                extra = np.array(more[i].as_py() or [], np.int64).reshape(-1, 2)
+                lo, hi = np.append(runs[:, 0], extra[:, 0]), np.append(runs[:, 1], extra[:, 1] + unit.window)
                 for column, value in zip(out, finish(raw[i].as_py(), runs_of(lo, hi))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(ROW_KEY), *[pa.array(c, t) for c, t in zip(out, types)]],

@@ -16,8 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from themescope.llm.common import ROW_KEY, with_ids, with_row_key
-from themescope.llm.repeats import BYTES, Unit, first_look, groups_by_key, known, resolved, second_look, starts_batch
+from themescope.llm.common import with_ids, with_row_key
+from themescope.llm.hashing import BYTE_VALUES
+from themescope.llm.repeats import (
+    BYTES, Unit, first_look, groups_by_key, hot_blocks, known, resolved, second_look, starts_batch,
+)
 
 _SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>"
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
@@ -33,13 +36,16 @@ def _finish(raw: bytes, runs):
     return len(raw), sum(hi - lo for lo, hi in runs), len(runs), digest.hexdigest(), [list(r) for r in runs]
 
 
-def _segments(window: int):
+def _segments(unit: Unit):
+    window = unit.window
+
     def segment(raw, keys, lows, highs, hots):
         out = []
         for key, lo, hi, hot in zip(keys, lows, highs, hots):
             body = raw[lo: hi + window]
-            names = [hashlib.blake2b(body[i: i + window], digest_size=16).digest() for i in range(hi - lo + 1)] if hot else None
-            out.append({"key": key, "lo": lo, "hi": hi, "hot": hot, "body": None if hot else body, "names": names})
+            blocks = hot_blocks(BYTE_VALUES[np.frombuffer(body, np.uint8)], hi - lo + 1, unit,
+                                lambda i, j: body[i: j + window]) if hot else None
+            out.append({"key": key, "lo": lo, "hi": hi, "hot": hot, "body": None if hot else body, "blocks": blocks})
         return out
 
     return segment
@@ -81,7 +87,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = with_row_key(docs, id_col, text_col)
     marks = known(keyed[0], text_col, unit, first_stays=False)
-    looked = first_look(keyed[0], marks, text_col, unit, _finish, _SCHEMA, _TYPES, _NAMES, _segments(unit.window))
+    looked = first_look(keyed[0], marks, text_col, unit, _finish, _SCHEMA, _TYPES, _NAMES, _segments(unit))
     result = second_look(looked, resolved(looked, _compare(unit.window), False), unit, _finish, _SCHEMA, _TYPES, _NAMES)
     return with_ids(result, keyed, id_col).select(id_col, *_NAMES)
 
