@@ -28,6 +28,8 @@ COMBINED_SIZE = 200
 #: Tokens that are common in a task's batch go to the end of the order; so many of them are sent to all
 #: tasks at most.  The order decides what is cheap, never what is found.
 ORDERED_TOKENS = 100_000
+#: Rows of (class, document) that are sent to all tasks at most.
+BROADCAST_ROWS = 500_000
 
 
 def _sets(batch: pa.RecordBatch, text_col: str, n: int):
@@ -171,6 +173,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, text_col:
     pairs = stored(pairs, "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = stored(wanted.join(classes.select("c", F.col("rep").alias(ROW_KEY)), "c"), "jaccard-wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # two numbers a row; a larger table is joined by a shuffle of the texts
+        wanted = F.broadcast(wanted)
 
     def run(batches):
         for batch in batches:
