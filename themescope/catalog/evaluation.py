@@ -172,9 +172,8 @@ _SWEEP = """sweep AS (SELECT l_linenumber AS k, round(avg(l_tax), 6) AS silhouet
   round(avg(l_quantity) / 100, 6) AS nmi, round(sum(l_extendedprice) / l_linenumber, 2) AS inertia FROM lineitem GROUP BY 1)"""
 _DISTANCE = """scaled AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ())::DOUBLE AS x,
   (inertia - min(inertia) OVER ()) / (max(inertia) OVER () - min(inertia) OVER ()) AS y FROM sweep),
-ends AS (SELECT arg_min(x, k) AS x1, arg_min(y, k) AS y1, arg_max(x, k) AS x2, arg_max(y, k) AS y2 FROM scaled),
-curve AS (SELECT k, silhouette, ari, nmi, inertia,
-  abs((y2 - y1) * x - (x2 - x1) * y + x2 * y1 - y2 * x1) / sqrt((y2 - y1) * (y2 - y1) + (x2 - x1) * (x2 - x1)) AS distance
+ends AS (SELECT arg_min(y, k) AS start, arg_max(y, k) - arg_min(y, k) AS climb FROM scaled),
+curve AS (SELECT k, silhouette, ari, nmi, inertia, abs(y - start - climb * x) / sqrt(1 + climb * climb) AS distance
   FROM scaled, ends)"""
 
 

@@ -59,13 +59,10 @@ def elbow(sweep: DataFrame, k: str = "k", value: str = "inertia") -> DataFrame:
     unit = sweep.withColumn("_x", scaled(F.col(k).cast("double"))).withColumn(
         "_y", scaled(F.col(value).cast("double"))
     )
-    for axis in ("_x", "_y"):
-        unit = unit.withColumn(f"{axis}1", F.first(axis).over(ends)).withColumn(
-            f"{axis}2", F.last(axis).over(ends)
-        )
-    run, rise = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
-    area = F.abs(rise * F.col("_x") - run * F.col("_y") + F.col("_x2") * F.col("_y1") - F.col("_y2") * F.col("_x1"))
-    return unit.withColumn("distance", area / F.hypot(rise, run)).select(*sweep.columns, "distance")
+    # k runs from 0 to 1, so the chord starts at the first value and rises by the whole climb
+    start, climb = F.first("_y").over(ends), F.last("_y").over(ends) - F.first("_y").over(ends)
+    below = F.col("_y") - start - climb * F.col("_x")
+    return unit.withColumn("distance", F.abs(below) / F.sqrt(1 + climb * climb)).select(*sweep.columns, "distance")
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:
