@@ -28,6 +28,8 @@ COMBINED_SIZE = 200
 #: Tokens that are common in a task's batch go to the end of the order; so many of them are sent to all
 #: tasks at most.  The order decides what is cheap, never what is found.
 ORDERED_TOKENS = 100_000
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 16
 #: Rows of (class, document) that are sent to all tasks at most.
 BROADCAST_ROWS = 500_000
 
@@ -60,32 +62,43 @@ def _class(tokens: np.ndarray) -> int:
     return int(second(np.array([total]), len(tokens)).view(np.int64)[0])
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens that fall on each bit.  Two sets differ in at least as many tokens as
+    their sketches differ in bits, so a pair whose sketches are too far apart cannot be similar."""
+    bits = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _described(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
-    """Rows of two kinds: (_k, n, c) of each document; (token, seen) of tokens common in a batch."""
+    """Rows of two kinds: (_k, n, c, sketch) of each document; (token, seen) of tokens common in a batch."""
+    sketches = pa.list_(pa.int64())
+
     def run(batches):
         for batch in batches:
             keys = batch.column(ROW_KEY).to_pylist()
-            sizes, names, every, known = [], [], [], set()
+            sizes, names, bits, every, known = [], [], [], [], set()
             for _, tokens in _sets(batch, text_col, n):
                 sizes.append(len(tokens))
                 names.append(_class(tokens))
+                bits.append(_sketch(tokens))
                 if names[-1] not in known:
                     known.add(names[-1])
                     every.append(tokens)
             rows = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()),
-                 pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=[ROW_KEY, "n", "c", "token", "seen"])
+                 pa.array(bits, sketches), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
+                names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
             token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
             common = count >= max(4, len(known) // 200)
             token, count = token[common].view(np.int64), count[common]
             rows = len(token)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array(token),
-                 pa.array(count, pa.int64())], names=[ROW_KEY, "n", "c", "token", "seen"])
+                [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, sketches),
+                 pa.array(token), pa.array(count, pa.int64())], names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
 
     return stored(keyed.select(ROW_KEY, text_col).mapInArrow(
-        run, f"{ROW_KEY} long, n int, c long, token long, seen long"), "jaccard-sets")
+        run, f"{ROW_KEY} long, n int, c long, sketch array<long>, token long, seen long"), "jaccard-sets")
 
 
 def _prefixes(keyed: DataFrame, text_col: str, n: int, percent: int, common) -> DataFrame:
@@ -168,13 +181,31 @@ def _meeting(x: DataFrame, y: DataFrame, percent: int, condition) -> DataFrame:
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    pairs = stored(pairs, "jaccard-pairs")
+def _wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, _k) of the classes in ``pairs``, each with the document that stands for it."""
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = stored(wanted.join(classes.select("c", F.col("rep").alias(ROW_KEY)), "c"), "jaccard-wanted")
-    if wanted.count() <= BROADCAST_ROWS:  # two numbers a row; a larger table is joined by a shuffle of the texts
-        wanted = F.broadcast(wanted)
+    # two numbers a row; a larger table is joined by a shuffle
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+
+
+def _possible(pairs: DataFrame, described: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sizes and sketches allow to be similar; no similar pair is lost."""
+    pairs = stored(pairs, "jaccard-pairs")
+    known = stored(described.select(ROW_KEY, "n", "sketch").join(_wanted(pairs, classes), ROW_KEY).drop(ROW_KEY), "jaccard-sketches")
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(known.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("na") + F.col("nb")
+    return stored(both.filter((total - apart) * (100 + percent) >= 2 * percent * total).select("a", "b"), "jaccard-possible")
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, described: DataFrame, classes: DataFrame, text_col: str, n: int,
+              percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+    pairs = _possible(pairs, described, classes, percent)
+    wanted = _wanted(pairs, classes)
 
     def run(batches):
         for batch in batches:
@@ -240,7 +271,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pivots = large.filter(F.col("c") == _pivot())
     met = _meeting(small, small, percent, F.col("x.c") < F.col("y.c")).unionByName(
         _meeting(large, pivots, percent, F.col("x.c") != F.col("y.c"))).distinct()
-    links = _verified(met, keyed[0], classes, text_col, n, percent)
+    links = _verified(met, keyed[0], described, classes, text_col, n, percent)
     label = components(links)
     # what the pivots left apart
     placed = large.join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -251,7 +282,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = _meeting(rest, rest, percent, (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label")))
     more = stored(more.join(met, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
-        again = _verified(more, keyed[0], classes, text_col, n, percent)
+        again = _verified(more, keyed[0], described, classes, text_col, n, percent)
         label = components(links.unionByName(again))
     group = classes.join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     group = stored(group, "jaccard-grouped")
