@@ -90,7 +90,7 @@ def _described(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
                  pa.array(bits, sketches), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
                 names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
             token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
-            common = count >= max(4, len(known) // 200)
+            common = count >= max(4, len(known) // 1000)
             token, count = token[common].view(np.int64), count[common]
             rows = len(token)
             yield pa.RecordBatch.from_arrays(
@@ -176,8 +176,11 @@ def _can_link(percent: int):
             & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
 
 
-def _meeting(x: DataFrame, y: DataFrame, percent: int, condition) -> DataFrame:
-    return (x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & condition & _can_link(percent))
+def _meeting(x: DataFrame, y: DataFrame, percent: int, condition, near=None) -> DataFrame:
+    condition = condition & _can_link(percent)
+    if near is not None:
+        condition = condition & near
+    return (x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & condition)
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
 
 
@@ -189,22 +192,24 @@ def _wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
 
+def _near(na, nb, sa, sb, percent: int):
+    """Sizes and sketches allow the two sets to be similar; true of every similar pair."""
+    apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
+
+
 def _possible(pairs: DataFrame, described: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that their sizes and sketches allow to be similar; no similar pair is lost."""
     pairs = stored(pairs, "jaccard-pairs")
     known = stored(described.select(ROW_KEY, "n", "sketch").join(_wanted(pairs, classes), ROW_KEY).drop(ROW_KEY), "jaccard-sketches")
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(known.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    total = F.col("na") + F.col("nb")
-    return stored(both.filter((total - apart) * (100 + percent) >= 2 * percent * total).select("a", "b"), "jaccard-possible")
-
-
-def _verified(pairs: DataFrame, keyed: DataFrame, described: DataFrame, classes: DataFrame, text_col: str, n: int,
-              percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    pairs = _possible(pairs, described, classes, percent)
+    x, y = known.alias("x"), known.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.c")).join(y, F.col("b") == F.col("y.c"))
+    near = _near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
+    return stored(both.filter(near).select("a", "b"), "jaccard-possible")
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a stored table) whose whole sets are similar."""
     wanted = _wanted(pairs, classes)
 
     def run(batches):
@@ -271,18 +276,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pivots = large.filter(F.col("c") == _pivot())
     met = _meeting(small, small, percent, F.col("x.c") < F.col("y.c")).unionByName(
         _meeting(large, pivots, percent, F.col("x.c") != F.col("y.c"))).distinct()
-    links = _verified(met, keyed[0], described, classes, text_col, n, percent)
+    met = _possible(met, described, classes, percent)
+    links = _verified(met, keyed[0], classes, text_col, n, percent)
     label = components(links)
     # what the pivots left apart
     placed = large.join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     placed = stored(placed, "jaccard-placed")
     apart = stored(placed.groupBy("key").agg(F.min("label").alias("u"), F.max("label").alias("w"))
                    .filter("u <> w").select("key"), "jaccard-apart")
-    rest = stored(placed.join(apart, "key", "left_semi"), "jaccard-rest")
-    more = _meeting(rest, rest, percent, (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label")))
+    rest = placed.join(apart, "key", "left_semi").select("key", "c", "n", "pos", "slack", "label")
+    rest = stored(rest.join(classes.select("c", F.col("rep").alias(ROW_KEY)), "c")
+                  .join(described.select(ROW_KEY, "sketch"), ROW_KEY).drop(ROW_KEY), "jaccard-rest")
+    near = _near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
+    more = _meeting(rest, rest, percent, (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label")), near)
     more = stored(more.join(met, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
-        again = _verified(more, keyed[0], described, classes, text_col, n, percent)
+        again = _verified(more, keyed[0], classes, text_col, n, percent)
         label = components(links.unionByName(again))
     group = classes.join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     group = stored(group, "jaccard-grouped")
