@@ -102,22 +102,28 @@ def test_fallback_label(spark):
 
 
 def test_key_phrases_by_definition(spark):
-    import hashlib
     import math
     import re
     from collections import Counter
 
     texts = {1: "late fees late fees charged", 2: "late fees again today", 3: "nothing here", 4: "", 5: None}
     rows = spark.createDataFrame(list(texts.items()), "complaint_id long, narrative string")
-    bucket = lambda p: hashlib.md5(p.encode()).hexdigest()[: ex.RARITY_DIGITS]
     grams = {}
     for key, text in texts.items():
         words = re.findall(r"[a-z]{4,}", text or "")
         grams[key] = Counter(" ".join(p) for p in zip(words, words[1:]))
-    seen = Counter(b for g in grams.values() for b in {bucket(p) for p in g})
+    seen = Counter(p for g in grams.values() for p in g)
     want = {
-        key: [p for _, p in sorted((-round(n * math.log(6 / (seen[bucket(p)] + 1)), 6), p) for p, n in g.items())][:5]
+        key: [p for _, p in sorted((-round(n * math.log(6 / (seen[p] + 1)), 6), p) for p, n in g.items())][:5]
         for key, g in grams.items() if g
     }
     got = {r.complaint_id: r.all_topics_discussed for r in ex.topic_lists(ex.key_phrases(rows)).collect()}
     assert got == want
+
+
+def test_key_phrases_of_a_part_equal_those_of_the_whole(spark):
+    texts = ["late fees late fees charged again", "late fees again today", "other late fees today again"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "complaint_id long, narrative string")
+    whole = {tuple(r) for r in ex.key_phrases(rows).filter("complaint_id > 0").collect()}
+    part = {tuple(r) for r in ex.key_phrases(rows.filter("complaint_id > 0"), corpus=rows).collect()}
+    assert part == whole

@@ -74,3 +74,8 @@ def test_large_small_side_is_not_broadcast(spark):
     rows = spark.range(100)
     assert small_side(rows, max_rows=99) is rows
     assert sorted(r.id for r in small_side(rows, max_rows=100).collect()) == list(range(100))
+
+
+def test_rows_without_a_key_do_not_shorten_a_sample(spark):
+    rows = spark.createDataFrame([(i if i < 80 else None, "g") for i in range(100)], "complaint_id long, product string")
+    assert smp.cap_groups(rows, "product", 50).count() == 50

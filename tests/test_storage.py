@@ -76,7 +76,8 @@ def test_export(spark, tmp_path):
 
 @pytest.mark.parametrize("text,items", [
     ("['a', 'b c']", ["a", "b c"]), ("[\"it's\", 'x']", ["it's", "x"]), (r"['it\'s \"q\"']", ["it's \"q\""]),
-    (r"['back\\slash']", ["back\\slash"]), ("['é à']", ["é à"]), ("[]", []), ("nonsense", None), (None, None),
+    (r"['back\\slash']", ["back\\slash"]), ("['é à']", ["é à"]), ("[]", []), (r"['a\xa0b']", ["a\u00a0b"]), (r"['a\\xa0']", [r"a\xa0"]),
+    ("['a', None, 'b']", ["a", None, "b"]), ("[None]", [None]), ("['a, None']", ["a, None"]), ("nonsense", None), (None, None),
 ])
 def test_legacy_lists(spark, text, items):
     row = spark.createDataFrame([(text,)], "t string").select(readers.decode_list(F.col("t")).alias("l")).first()

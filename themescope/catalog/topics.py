@@ -15,12 +15,11 @@ from themescope.functions import text as tx
 from themescope.plans.full_run import RunOptions, ledger_table, run_all
 from themescope.session import scratch_path
 
-_BUCKET = f"substr(md5(phrase), 1, {ex.RARITY_DIGITS})"
 _PHRASES = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '(\p{{L}}{{4,}})', 1) AS w FROM documents),
 p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w),
-tf AS (SELECT doc_id, phrase, {_BUCKET} AS bucket, count(*) AS tf FROM p GROUP BY 1, 2),
-df AS (SELECT bucket, count(DISTINCT doc_id) AS documents FROM tf GROUP BY 1),
-s AS (SELECT doc_id, phrase, round(tf * ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (documents + 1.0::DOUBLE)), 6) AS score FROM tf JOIN df USING (bucket)),
+tf AS (SELECT doc_id, phrase, count(*) AS tf FROM p GROUP BY 1, 2),
+df AS (SELECT phrase, count(*) AS documents FROM tf GROUP BY 1),
+s AS (SELECT doc_id, phrase, round(tf * ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (documents + 1.0::DOUBLE)), 6) AS score FROM tf JOIN df USING (phrase)),
 phrases AS (SELECT doc_id, phrase, score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS INTEGER) AS rank FROM s)"""
 
 

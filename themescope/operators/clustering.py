@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -161,10 +160,8 @@ def silhouette_order(scored: DataFrame, cluster: str, key: str, gap: int = 10) -
 
 
 def mean_silhouette(labelled: DataFrame, cluster: str = "cluster_id") -> float:
-    """Mean cosine silhouette of a labelling, from Spark's evaluator."""
-    return ClusteringEvaluator(
-        predictionCol=cluster, featuresCol=FEATURES, metricName="silhouette", distanceMeasure="cosine"
-    ).evaluate(labelled)
+    """Mean cosine silhouette of a labelling of unit vectors; zero vectors count as points like others."""
+    return point_silhouettes(labelled, cluster).agg(F.avg("silhouette")).first()[0]
 
 
 def assign_to_centroids(

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from themescope import fixed_values as fv
 from themescope.functions.lists import each_item
 from themescope.functions.nulls import or_empty
+from themescope.session import scratch_path
 
 # A model hook: batches of (complaint_id, text) in, batches of its output columns out.
 Hook = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -24,8 +25,6 @@ Hook = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 NEGATIVE_WORDS = ["denied", "error", "fail", "failed", "fraud", "never", "refused", "unable", "wrong", "worthless"]
 POSITIVE_WORDS = ["great", "helpful", "pleased", "resolved", "satisfied", "thank", "thanks"]
 
-# Phrases are counted per hash bucket, so the rarity table has this fixed size.
-RARITY_DIGITS = 4
 _MIN_LETTERS = 4
 
 
@@ -40,37 +39,38 @@ def phrases_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return NGram(n=2, inputCol="words", outputCol="phrases").transform(worded)
 
 
-def _bucket(phrase: Column) -> Column:
-    return F.substring(F.md5(phrase), 1, RARITY_DIGITS)
+def phrase_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """How often each phrase stands in each text, counted in one pass and stored."""
+    listed = phrases_of(df, key, text).select(key, F.col("phrases").alias("phrase"))
+    told = each_item(listed, "phrase").groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("_tf"))
+    path = scratch_path(df.sparkSession, "phrases")
+    told.write.parquet(path)
+    return df.sparkSession.read.schema(told.schema).parquet(path)
 
 
-def rarity(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents per phrase bucket: at most 16^4 rows, combined before the shuffle."""
-    buckets = F.array_distinct(F.transform("phrases", _bucket))
-    distinct = each_item(phrases_of(df, key, text).select(buckets.alias("bucket")), "bucket")
-    return distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("documents"))
+def rarity(told: DataFrame) -> DataFrame:
+    """Rows per phrase, for phrases of more than one row; combined before the shuffle."""
+    return told.groupBy("phrase").agg(F.count(F.lit(1)).alias("documents")).filter("documents > 1")
 
 
 def key_phrases(
-    df: DataFrame, key: str = "complaint_id", text: str = "narrative", top: int = fv.MAX_TOPICS_PER_ROW
+    df: DataFrame, key: str = "complaint_id", text: str = "narrative", top: int = fv.MAX_TOPICS_PER_ROW,
+    corpus: DataFrame | None = None,
 ) -> DataFrame:
     """The phrases with the highest count x ln((rows + 1) / (rows with it + 1)) of each text.
 
-    Texts are placed by key once; counting phrases inside a text and ranking them then stay in
-    that task.  The rarity table has a fixed size and is broadcast.
+    Rows are counted exactly, in ``corpus`` if that is given (it holds the rows of ``df`` and may hold
+    more), so a run in parts ranks phrases as one run does.  Most phrases occur in one row and have no
+    entry in the rarity table; the join on the phrase leaves a hot phrase to the skew handling of AQE.
     """
-    counts = rarity(df, key, text)
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    placed = phrases_of(df, key, text).select(key, "phrases").repartition(key)
-    told = (
-        each_item(placed.withColumnRenamed("phrases", "phrase"), "phrase")
-        .groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("_tf"))
-        .withColumn("bucket", _bucket(F.col("phrase")))
-    )
-    score = F.col("_tf") * F.ln((rows + 1.0) / (F.col("documents") + 1.0))
+    told = phrase_counts(df, key, text)
+    counts = rarity(told if corpus is None else phrase_counts(corpus, key, text))
+    rows = (df if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
+    documents = F.coalesce("documents", F.lit(1))
+    score = F.col("_tf") * F.ln((rows + 1.0) / (documents + 1.0))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "phrase"))
     return (
-        told.join(F.broadcast(counts), "bucket", "left")  # every bucket occurs; left adds no null test
+        told.join(counts, "phrase", "left")
         .withColumn("score", F.round(score, 6))
         .withColumn("rank", rank)
         .filter(F.col("rank") <= top)
@@ -95,11 +95,13 @@ def lexicon_sentiment(
     return F.when(has(negative), "Negative").when(has(positive), "Positive").otherwise("Neutral")
 
 
-def default_topics(df: DataFrame, key: str = "complaint_id", text: str = "narrative") -> DataFrame:
-    """Results of the default extractor in the shape of resolved model attempts."""
+def default_topics(
+    df: DataFrame, key: str = "complaint_id", text: str = "narrative", corpus: DataFrame | None = None
+) -> DataFrame:
+    """Results of the default extractor in the shape of resolved model attempts; ``corpus`` as in :func:`key_phrases`."""
     sentiment = df.select(key, lexicon_sentiment(F.col(text)).alias("customer_sentiment"))
     return (
-        sentiment.join(topic_lists(key_phrases(df, key, text), key), key, "left")
+        sentiment.join(topic_lists(key_phrases(df, key, text, corpus=corpus), key), key, "left")
         .withColumn("extraction_ok", F.col("all_topics_discussed").isNotNull())
         .withColumns({
             "supporting_quote": F.lit(""), "ai_topic_reasoning": F.lit(""),

@@ -71,8 +71,8 @@ def cap_groups(
     df: DataFrame, group: str, cap: int, key: str = "complaint_id", seed: int | str = fv.SEED,
     digits: int = _HISTOGRAM_DIGITS,
 ) -> DataFrame:
-    """At most ``cap`` random rows per group; smaller groups stay whole, NULL groups are dropped."""
-    grouped = df.filter(F.col(group).isNotNull())
+    """At most ``cap`` random rows per group; smaller groups stay whole, NULL groups and NULL keys are dropped."""
+    grouped = df.filter(F.col(group).isNotNull() & F.col(key).isNotNull())
     edges = cap_edges(draw_histogram(grouped, group, key, seed, digits), group, cap)
     return _keep_to_edges(grouped, edges, group, key, seed, digits)
 
@@ -108,7 +108,7 @@ def balanced_sample(
     ``df`` is read for the group counts, the histogram and the result, so land it first when
     it is costly to derive.
     """
-    grouped = df.filter(F.col(group).isNotNull())
+    grouped = df.filter(F.col(group).isNotNull() & F.col(key).isNotNull())
     sizes = small_side(grouped.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     categories = sizes.count()
     cap = category_cap(categories, target)

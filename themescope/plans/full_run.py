@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -61,10 +62,15 @@ def extract_topics(rows: DataFrame, options: RunOptions) -> tuple[DataFrame, dic
             RESPONSES, ["dataset_id", "complaint_id", "narrative"],
         )
         # Model calls are paid for: their answers are stored before anything reads them twice.
-        attempts = append_run(raw, f"{options.folder}/attempts", options.resume)
-        results = att.resolve_attempts(attempts)
+        # Only this run's attempts decide, so a row that failed for good before can still succeed now.
+        run = uuid.uuid4().hex
+        attempts = append_run(raw.withColumn("run_id", F.lit(run)), f"{options.folder}/attempts", options.resume)
+        results = att.resolve_attempts(attempts.filter(F.col("run_id") == run))
     else:
-        results = extraction.default_topics(todo).withColumn("dataset_id", F.lit(options.dataset_id))
+        # Phrase rarity comes from all chosen rows, so a resumed run ends as one run would.
+        results = extraction.default_topics(todo, corpus=None if stored is None else chosen).withColumn(
+            "dataset_id", F.lit(options.dataset_id)
+        )
     columns = ["all_topics_discussed", "supporting_quote", "ai_topic_reasoning",
                "customer_sentiment", "extraction_ok", "model_version"]
     found = results.select(*joins.RUN_KEY, *columns)
@@ -72,6 +78,7 @@ def extract_topics(rows: DataFrame, options: RunOptions) -> tuple[DataFrame, dic
         "process_time", F.date_trunc("second", F.current_timestamp())
     )
     before = 0 if stored is None else stored.filter(F.col("dataset_id") == options.dataset_id).count()
+    asked = todo.count()
     written = append_run(joins.successful(joined), path, options.resume and stored is not None)
     topics = written.filter(F.col("dataset_id") == options.dataset_id)
     counted = topics.agg(
@@ -81,7 +88,7 @@ def extract_topics(rows: DataFrame, options: RunOptions) -> tuple[DataFrame, dic
     return topics, {
         "step": "extract_topics", "rows_in": rows_in, "rows_out": counted.rows_out,
         "resumed_from": before, "newly_processed": counted.rows_out - before,
-        "failed": max(rows_in - counted.rows_out, 0), "total_topics": counted.total_topics or 0,
+        "failed": asked - (counted.rows_out - before), "total_topics": counted.total_topics or 0,
     }
 
 

@@ -94,7 +94,13 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_list(text: Column) -> Column:
-    """A list column that was stored as Python-style text, as an array; NULL if it is no list."""
+    r"""A list column that was stored as Python-style text, as an array; NULL if it is no list.
+
+    ``\xNN`` becomes the JSON escape of the same character and an unquoted ``None`` a missing item.
+    """
+    # An escape counts only after an even number of backslashes; quoted items keep a None inside them.
+    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    text = F.regexp_replace(text, r"(?<=[\[,])(\s*)None(?=\s*(?:,\s*(?:['\"]|None\b)|,?\s*\]$))", "$1null")
     return F.from_json(text, "array<string>", {
         "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true",
     })
