@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.catalog.registry import query, table, texts
+from themescope.catalog.stand_ins import longest_words, sql_longest_words
 from themescope.functions.responses import read_labels
 from themescope.operators import attempts as att, joins
 
-_WORDS = r"string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:7]"
+_WORDS = sql_longest_words("text", 7)
 
 # One response per document and attempt: a model chain of two, two attempts each.  Status and
 # shape follow from the text length.
@@ -23,7 +24,7 @@ attempts AS (SELECT dataset_id, complaint_id, model, model_rank, attempt, status
     CASE shape
       WHEN 0 THEN CAST(to_json({{topics: w, supporting_quote: text, reason: source, sentiment: CASE lang WHEN 'en' THEN 'Negative' WHEN 'fr' THEN 'negative' ELSE 'Positive' END}}) AS VARCHAR)
       WHEN 1 THEN CAST(to_json(w) AS VARCHAR)
-      WHEN 2 THEN '[' || n_chars || ',' || CAST(to_json({{topics: w[1:2], sentiment: 'Neutral'}}) AS VARCHAR) || ']'
+      WHEN 2 THEN '[' || n_chars || ',' || CAST(to_json({{topics: w, sentiment: 'Neutral'}}) AS VARCHAR) || ']'
       WHEN 3 THEN CAST(to_json(source) AS VARCHAR)
       WHEN 4 THEN '{{"topics": [' || n_chars || ', null, "  ", " a ", "a"], "sentiment": "Positive"}}'
       WHEN 5 THEN '{{"topics": ["' || source || '"'
@@ -65,11 +66,10 @@ def _json(**fields: Column | str) -> Column:
 
 
 def model_attempts(spark: SparkSession, folder: str) -> DataFrame:
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 7)
     slots = F.array(*[
         F.struct(F.lit(r).alias("model_rank"), F.lit(a).alias("attempt")) for r in (0, 1) for a in (0, 1)
     ])
-    made = texts(spark, folder).withColumn("w", words).withColumn("s", F.explode(slots)).select("*", "s.*")
+    made = texts(spark, folder).withColumn("w", longest_words(F.col("text"), 7)).withColumn("s", F.explode(slots)).select("*", "s.*")
     turn = (F.col("n_chars") + 3 * F.col("model_rank") + F.col("attempt")) % 6
     shape = (F.col("n_chars") + F.col("model_rank") + 2 * F.col("attempt")) % 8
     mood = F.when(F.col("lang") == "en", "Negative").when(F.col("lang") == "fr", "negative").otherwise("Positive")
@@ -77,7 +77,7 @@ def model_attempts(spark: SparkSession, folder: str) -> DataFrame:
     raw = (
         F.when(shape == 0, _json(topics="w", supporting_quote="text", reason="source", sentiment=mood))
         .when(shape == 1, F.to_json("w"))
-        .when(shape == 2, F.concat(F.lit("["), chars, F.lit(","), _json(topics=F.slice("w", 1, 2), sentiment=F.lit("Neutral")), F.lit("]")))
+        .when(shape == 2, F.concat(F.lit("["), chars, F.lit(","), _json(topics="w", sentiment=F.lit("Neutral")), F.lit("]")))
         .when(shape == 3, F.concat(F.lit('"'), F.col("source"), F.lit('"')))
         .when(shape == 4, F.concat(F.lit('{"topics": ['), chars, F.lit(', null, "  ", " a ", "a"], "sentiment": "Positive"}')))
         .when(shape == 5, F.concat(F.lit('{"topics": ["'), F.col("source"), F.lit('"')))

@@ -151,20 +151,31 @@ LABELLED = f"""labelled AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
+def longest_words(text: Column, n: int) -> Column:
+    """The ``n`` longest distinct words of a whole text, later ones in the alphabet first among equals."""
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
+    keys = F.transform(words, lambda w: F.concat(F.lpad(F.length(w).cast("string"), 9, "0"), w))
+    return F.transform(F.slice(F.sort_array(keys, asc=False), 1, n), lambda k: F.substring(k, 10, 2147483647))
+
+
+def sql_longest_words(text: str, n: int) -> str:
+    words = rf"list_distinct(string_split(trim(regexp_replace({text}, '\s+', ' ', 'g')), ' '))"
+    keys = f"list_transform({words}, lambda w: lpad(CAST(length(w) AS VARCHAR), 9, '0') || w)"
+    return f"list_transform(list_reverse_sort({keys})[1:{n}], lambda k: substr(k, 10))"
+
+
 def topic_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Complaints with a topic list and a cluster: the first words of each document."""
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+    """Complaints with a topic list and a cluster: the longest words of each whole document."""
     return texts(spark, folder).select(
         F.col("doc_id").alias("complaint_id"),
-        F.slice(words, 1, 5).alias("all_topics_discussed"),
+        longest_words(F.lower("text"), 5).alias("all_topics_discussed"),
         F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("cluster_id"),
         "lang", "source",
     )
 
 
-TOPIC_ROWS = r"""topic_rows AS (
-  SELECT doc_id AS complaint_id,
-         string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')[1:5] AS all_topics_discussed,
+TOPIC_ROWS = f"""topic_rows AS (
+  SELECT doc_id AS complaint_id, {sql_longest_words('lower(text)', 5)} AS all_topics_discussed,
          CAST(substr(source, 4) AS INTEGER) AS cluster_id, lang, source
   FROM documents)"""
 
@@ -186,9 +197,9 @@ def document_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Documents clustered by source, with language and source as true category."""
     return table(spark, folder, "documents").select(
         F.col("doc_id").alias("complaint_id"), F.col("source").alias("cluster_id"),
-        F.concat_ws("-", "lang", F.substring("source", 1, 4)).alias("truth"),
+        F.concat_ws("-", "lang", "source").alias("truth"),
     )
 
 
 DOCUMENT_CELLS = """document_cells AS (
-  SELECT doc_id AS complaint_id, source AS cluster_id, lang || '-' || substr(source, 1, 4) AS truth FROM documents)"""
+  SELECT doc_id AS complaint_id, source AS cluster_id, lang || '-' || source AS truth FROM documents)"""

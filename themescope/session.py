@@ -31,10 +31,13 @@ def build_session(app: str = "themescope", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a session that names none (a laptop, a test) gets a temporary folder.
+    Only a local session that names none (a laptop, a test) gets a temporary folder; on a cluster
+    that is an error, as executors would not see each other's files there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "themescope-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

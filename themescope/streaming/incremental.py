@@ -35,7 +35,12 @@ def run_available(source: DataFrame, transform: Transform, sink: str, checkpoint
         .option("path", sink).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    # Spark keeps the reports of the last batches only, so they are gathered while the query runs.
+    rows: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(1)
+        rows.update((p["batchId"], p["numInputRows"]) for p in query.recentProgress)
     if query.exception() is not None:
         raise query.exception()
-    return sum(progress["numInputRows"] for progress in query.recentProgress)
+    return sum(rows.values())
