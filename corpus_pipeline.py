@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from themescope.llm import bpe, common, decontaminate, exact_dedup, jaccard, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share this percentage of their shingles of so many words, or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id."""
-    groups = jaccard.similar_groups(docs)
+    groups = jaccard.similar_groups(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = groups.filter("component_id = doc_id").select("doc_id")
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 

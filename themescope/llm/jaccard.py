@@ -22,7 +22,7 @@ from themescope.llm.hashing import Words, mix, running, second, span
 SHINGLE_WORDS, PERCENT = 3, 90
 #: A token in the prefixes of more classes than this is frequent; so is a bucket with more members large.
 FREQUENT = 16
-#: Sets up to this size use combinations of frequent tokens; from PERCENT of it on, single ones as well, so
+#: Sets up to this size use combinations of frequent tokens; from ``percent`` of it on, single ones as well, so
 #: two sets that can be similar always have one kind of key in common.
 COMBINED_SIZE = 200
 #: Tokens that are common in a task's batch go to the end of the order; so many of them are sent to all
@@ -131,7 +131,7 @@ def _prefixes(keyed: DataFrame, text_col: str, n: int, percent: int, common) ->
     return stored(keyed.select(ROW_KEY, text_col).mapInArrow(run, "token long, c long, n int, pos int"), "jaccard-prefixes")
 
 
-def _keys(prefixes: DataFrame) -> DataFrame:
+def _keys(prefixes: DataFrame, percent: int) -> DataFrame:
     """(key, c, n, pos, slack): what classes meet under.  ``slack`` is 1 where a shared token may stand
     before the key's place."""
     twice = stored(prefixes.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"))
@@ -140,7 +140,7 @@ def _keys(prefixes: DataFrame) -> DataFrame:
     often = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > FREQUENT)
                    .select("token", F.lit(True).alias("often")), "jaccard-frequent")
     rows = stored(rows.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(False))), "jaccard-marked")
-    single = rows.filter(~F.col("often") | (F.col("n") * 100 >= COMBINED_SIZE * PERCENT)).select(
+    single = rows.filter(~F.col("often") | (F.col("n") * 100 >= COMBINED_SIZE * percent)).select(
         F.xxhash64("token").alias("key"), "c", "n", "pos", F.lit(1).alias("slack"))
     lists = (rows.filter(F.col("often") & (F.col("n") <= COMBINED_SIZE)).groupBy("c", "n")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t")))  # at most a prefix
@@ -271,7 +271,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = spark.sparkContext.broadcast((np.array([t for t, _ in order], np.uint64), np.array([s for _, s in order], np.int64)))
     classes = stored(members.filter("n > 0").groupBy("c").agg(F.min(ROW_KEY).alias("rep"), F.count(F.lit(1)).alias("size")),
                      "jaccard-classes")
-    keys = _keys(_prefixes(keyed[0], text_col, n, percent, common))
+    keys = _keys(_prefixes(keyed[0], text_col, n, percent, common), percent)
     small, large = keys.filter(F.col("m") <= FREQUENT), keys.filter(F.col("m") > FREQUENT)
     pivots = large.filter(F.col("c") == _pivot())
     met = _meeting(small, small, percent, F.col("x.c") < F.col("y.c")).unionByName(
