@@ -21,24 +21,35 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality(docs, labels, keep=COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``: unique, never null, ordered like doc_id (missing ids first)."""
+    return common.with_row_key(docs, *COLUMNS)[0].withColumnRenamed(common.ROW_KEY, "row")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.join(kept.select("row"), "row", "left_semi").select(*COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup.exact_groups(docs).filter("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One document of each group of equal texts.  Rows with a missing or repeated doc_id are documents of
+    their own."""
+    rows = _numbered(docs)
+    return _only(rows, exact_dedup.exact_groups(rows, "row").filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id."""
-    groups = jaccard.similar_groups(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    kept = groups.filter("component_id = doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Of each group of similar documents the one with the smallest id (a missing one counts as smallest);
+    of rows that agree in it, exactly one."""
+    rows = _numbered(docs)
+    groups = jaccard.similar_groups(rows, "row", n=NEAR_WORDS, percent=NEAR_PERCENT)
+    return _only(rows, groups.filter("component_id = row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = found.filter(F.size("items") == 0).select("doc_id")
-    return docs.select(*COLUMNS).join(clean, "doc_id", "left_semi")
+    """Documents that share no window of words with the benchmark, each row for itself."""
+    rows = _numbered(docs)
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
+    return _only(rows, found.filter(F.size("items") == 0))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,21 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, frequent):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()}
     assert kept == near_kept(rows)
     assert kept != near_kept(rows, 3, 90) and 1001 not in kept
+
+
+def test_rows_with_missing_and_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()), key=str)
+
+    long, other = " ".join("l%d" % i for i in range(60)), " ".join("o%d" % i for i in range(60))
+    near = long.replace("l59", "changed")
+    rows = [(None, other), (None, "alone"), (1, long), (1, long), (1, "first"), (2, long), (2, "second"), (3, None)]
+    once = [(None, other), (None, "alone"), (1, long), (1, "first"), (2, "second"), (3, None)]
+    assert left(corpus_pipeline.drop_copies, rows) == sorted(once, key=str)
+    assert left(corpus_pipeline.drop_near_copies, rows + [(1, near), (2, other)]) in [
+        sorted([x for x in once if x != (1, long)] + [(1, t)], key=str) for t in (long, near)]
+    bad = "x one two three y"
+    rows = [(None, "good"), (None, bad), (1, bad), (1, "good"), (1, "good"), (2, bad), (3, None)]
+    assert left(corpus_pipeline.drop_contaminated, rows) == sorted([x for x in rows if x[1] != bad], key=str)
