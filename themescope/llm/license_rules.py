@@ -1,7 +1,8 @@
 """Ordered signature rules: one row per rule, made from families and forms.
 
 A family has a label, the keyword (a whole word) that must stand in a text before any of its rules is tried, and a
-pattern of its name in normalised words (ASCII lower case, one space between words).  Each form wraps
+pattern of its name in normalised words (ASCII lower case, one space between words).  Every name that the
+pattern takes holds the keyword, so a joined spelling has a row of its own.  Each form wraps
 that name into one kind of notice.  Longer forms have the higher priority: a full notice says more than
 a bare mention inside it.
 """
@@ -29,29 +30,43 @@ FAMILIES = [
     ("apache-1.0", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: version)? 1 0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: version)? 1 1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: version)? 2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)"),
-    ("bsd-0-clause", "bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)"),
+    ("bsd-0-clause", "bsd", r"(?:bsd zero clause|zero clause bsd)"),
+    ("bsd-0-clause", "0bsd", r"0bsd"),
     ("gpl-1.0", "general", r"gnu general public licen[cs]e(?: version)? 1(?: 0)?"),
     ("gpl-2.0", "general", r"gnu general public licen[cs]e(?: version)? 2(?: 0)?"),
     ("gpl-3.0", "general", r"gnu general public licen[cs]e(?: version)? 3(?: 0)?"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl v?2(?: 0)?"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl v?3(?: 0)?"),
-    ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2"),
-    ("gpl-3.0", "gplv3", r"(?:gnu )?gplv3"),
+    ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2(?: 0)?"),
+    ("gpl-2.0", "gpl2", r"(?:gnu )?gpl2(?: 0)?"),
+    ("gpl-3.0", "gplv3", r"(?:gnu )?gplv3(?: 0)?"),
+    ("gpl-3.0", "gpl3", r"(?:gnu )?gpl3(?: 0)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
     ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl v?2(?: 0)?"),
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl v?2 1"),
     ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl v?3(?: 0)?"),
+    ("lgpl-2.0", "lgplv2", r"(?:gnu )?lgplv2(?: 0)?"),
+    ("lgpl-2.0", "lgpl2", r"(?:gnu )?lgpl2(?: 0)?"),
+    ("lgpl-2.1", "lgplv2", r"(?:gnu )?lgplv2 1"),
+    ("lgpl-2.1", "lgpl2", r"(?:gnu )?lgpl2 1"),
+    ("lgpl-3.0", "lgplv3", r"(?:gnu )?lgplv3(?: 0)?"),
+    ("lgpl-3.0", "lgpl3", r"(?:gnu )?lgpl3(?: 0)?"),
     ("lgpl-2.1", "lesser", r"gnu lesser general public licen[cs]e(?: version)? 2 1"),
     ("lgpl-3.0", "lesser", r"gnu lesser general public licen[cs]e(?: version)? 3(?: 0)?"),
     ("agpl-3.0", "agpl", r"(?:gnu )?agpl v?3(?: 0)?"),
+    ("agpl-3.0", "agplv3", r"(?:gnu )?agplv3(?: 0)?"),
+    ("agpl-3.0", "agpl3", r"(?:gnu )?agpl3(?: 0)?"),
     ("agpl-3.0", "affero", r"gnu affero general public licen[cs]e(?: version)? 3(?: 0)?"),
     ("mpl-1.0", "mozilla", r"mozilla public licen[cs]e(?: version)? 1 0"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e(?: version)? 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e(?: version)? 2(?: 0)?"),
     ("mpl-2.0", "mpl", r"mpl v?2(?: 0)?"),
+    ("mpl-2.0", "mplv2", r"mplv2(?: 0)?"),
+    ("mpl-2.0", "mpl2", r"mpl2(?: 0)?"),
     ("epl-1.0", "eclipse", r"eclipse public licen[cs]e(?: version)? 1(?: 0)?"),
     ("epl-2.0", "eclipse", r"eclipse public licen[cs]e(?: version)? 2(?: 0)?"),
     ("edl-1.0", "eclipse", r"eclipse distribution licen[cs]e(?: version)? 1(?: 0)?"),
