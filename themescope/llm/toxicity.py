@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from labelled texts: one of ordinary text, one of the same ordinary
-text plus the pieces that mark toxic texts.  Where the second compresses a window shorter than the first,
+text plus the pieces that mark toxic texts, chosen by evidence.  Where the second compresses a window shorter than the first,
 the window holds toxic pieces.  The differences of all windows of a text give a few numbers, and a
 logistic curve over these, calibrated on labelled texts that took no part in the dictionaries, gives the
 score.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -19,20 +19,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from themescope.llm.common import groups_of_rows, text_buffer
+from themescope.llm.common import groups_of_rows, stored, text_buffer
 from themescope.llm.logistic import Logistic, fit_logistic
 
 #: Bytes of a window; it ends at the next space, or after SLACK more bytes.
 WINDOW, SLACK = 56, 32
 #: Labelled texts of each class that training looks at, at most; taken in order of the hash of their id.
 SAMPLE_ROWS = 4_000
-#: Characters of a sampled text that training looks at, from a place that its hash chooses.  Scoring
-#: always looks at whole texts.
-SAMPLE_CHARS = 20_000
-#: Bytes of each part of the dictionaries at most.  Both stay small: what matches by chance is noise.
-ORDINARY_BYTES, TOXIC_BYTES = 1_500, 4_096
-#: A toxic piece stands in this share of the toxic texts at least, and this many times the ordinary share.
-PIECE_SHARE, PIECE_RATIO = 0.03, 15
+#: Bytes of ordinary words in both dictionaries; it stays small: what matches by chance is noise.
+ORDINARY_BYTES, ORDINARY_PIECES = 1_500, 4_000
+#: A toxic piece has this much evidence (twice the log likelihood ratio of its rows, far from chance) and this many times the ordinary share.  Evidence grows with the number of labels.
+EVIDENCE, PIECE_RATIO = 60.0, 8
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -45,41 +42,69 @@ class Model(NamedTuple):
     curve: Logistic
 
 
-def _pieces(text: bytes) -> set[bytes]:
-    """Words of a text, and how they begin."""
-    out = set()
-    for word in _WORD.findall(text):
-        out.add(word[:24])
-        for n in (4, 5, 6, 7):
-            if len(word) > n:
-                out.add(word[:n])
+def _pieces(text: bytes) -> dict[bytes, int]:
+    """Words of a text and how they begin, each with the least hash of the three words that it stands in:
+    copies of a passage agree in it."""
+    out: dict[bytes, int] = {}
+    words = _WORD.findall(text)
+    for before, word, after in zip([b"", *words], words, [*words[1:], b""]):
+        mark = zlib.crc32(b" ".join((before, word, after)))
+        for piece in {word[:24], *(word[:n] for n in (4, 5, 6, 7) if len(word) > n)}:
+            if mark < out.get(piece, 1 << 32):
+                out[piece] = mark
     return out
 
 
-def dictionaries(texts: list[bytes], toxic: list[int]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary; in each part the weightiest pieces last, where
-    zstandard reaches them with the shortest offsets."""
-    counts, rows = (Counter(), Counter()), [0, 0]
-    for text, label in zip(texts, toxic):
-        counts[label].update(_pieces(text))
-        rows[label] += 1
-    share = lambda label, piece: (counts[label][piece] + 0.5) / (rows[label] + 1)
-    marked = {p for p, n in counts[1].items()
-              if n >= max(5, PIECE_SHARE * rows[1]) and n / rows[1] > PIECE_RATIO * share(0, p)}
-    longer = {}
-    for p in marked:  # keep of a family what says as much in the most letters
-        for n in range(4, len(p)):
-            if p[:n] in marked:
-                longer.setdefault(p[:n], []).append(p)
-    kept = [p for p in marked
-            if not any(counts[1][q] >= 0.8 * counts[1][p] for q in longer.get(p, ()))
-            and not any(counts[1][p] < 0.5 * counts[1][p[:n]] for n in range(4, len(p)) if p[:n] in marked)]
-    kept.sort(key=lambda p: (counts[1][p] * math.log(share(1, p) / share(0, p)), p))
-    common = sorted(counts[0].items(), key=lambda x: (x[1], x[0]))
-    plain = b"".join(b" " + p for p, _ in common[-4000:])
-    bad = b"".join(b" " + p + b" " for p in kept)[-TOXIC_BYTES:]
-    ordinary = plain[-ORDINARY_BYTES:]
-    return ordinary, bad + ordinary
+def _seen(texts: DataFrame) -> DataFrame:
+    """(piece, mark, label, half), each once, of texts (label, half, body), which are read whole."""
+    def run(batches):
+        for batch in batches:
+            labels, halves = batch.column("label").to_pylist(), batch.column("half").to_pylist()
+            data, offsets = text_buffer(batch.column("body"))
+            for i, label in enumerate(labels):
+                found = _pieces(data[offsets[i]: offsets[i + 1]].tobytes().lower())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64()),
+                     pa.array([label] * len(found), pa.int32()), pa.array([halves[i]] * len(found), pa.int64())],
+                    names=["piece", "mark", "label", "half"])
+
+    return texts.select("label", "half", "body").mapInArrow(run, "piece binary, mark long, label int, half long").distinct()
+
+
+def _counted(seen: DataFrame) -> DataFrame:
+    """(piece, n0, n1): rows of each label that hold a piece; rows with the same passage count once."""
+    return seen.groupBy("piece").agg(F.sum((F.col("label") == 0).cast("long")).alias("n0"),
+                                     F.sum((F.col("label") == 1).cast("long")).alias("n1"))
+
+
+def dictionaries(counts: DataFrame, rows: tuple[int, int]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary from :func:`_counted` and the rows of each label; in
+    each part the weightiest pieces last, where zstandard reaches them with the shortest offsets."""
+    common = (counts.filter("n0 > 0").orderBy(F.desc("n0"), F.desc("piece")).limit(ORDINARY_PIECES)
+              .select("piece").collect())
+    ordinary = b"".join(b" " + bytes(r["piece"]) for r in reversed(common))[-ORDINARY_BYTES:]
+    if not min(rows):
+        return ordinary, ordinary
+    share = rows[1] / sum(rows)
+    a, b = F.col("n1"), F.col("n0")
+
+    def part(n, expected):
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+
+    evidence = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share))
+                    + part(rows[1] - a, (sum(rows) - a - b) * share) + part(rows[0] - b, (sum(rows) - a - b) * (1 - share)))
+    marked = (counts.filter(a * rows[0] > PIECE_RATIO * b * rows[1])
+              .select("piece", F.round(evidence, 6).alias("evidence")).filter(F.col("evidence") >= EVIDENCE).collect())
+    kept: list[bytes] = []
+    begun: set[bytes] = set()
+    for r in sorted(marked, key=lambda r: (-r["evidence"], -len(r["piece"]), bytes(r["piece"]))):
+        piece = bytes(r["piece"])  # keep of a family what says most
+        begins = {piece[:n] for n in range(4, len(piece))}
+        if piece in begun or begins & set(kept):
+            continue
+        kept.append(piece)
+        begun |= begins
+    return ordinary, b"".join(b" " + p + b" " for p in reversed(kept)) + ordinary
 
 
 def windows(text: bytes):
@@ -96,8 +121,9 @@ def windows(text: bytes):
 
 
 def compressor(content: bytes):
+    room = max(14, (len(content) + WINDOW + SLACK).bit_length())  # the whole dictionary is within reach
     settings = zstandard.ZstdCompressionParameters(
-        compression_level=5, min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=14, hash_log=14, chain_log=13,
+        compression_level=5, min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=room, hash_log=room, chain_log=room - 1,
         search_log=5, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=settings)
@@ -119,13 +145,17 @@ class Distances:
                 math.log(len(gain))]
 
 
-def train(texts: list[bytes], toxic: list[int]) -> Model:
-    """Dictionaries from the even rows, the curve from the odd ones."""
-    texts = [t.lower() for t in texts]
-    ordinary, bad = dictionaries(texts[::2], toxic[::2])
-    distances = Distances(ordinary, bad)
-    x = np.array([distances.features(t) for t in texts[1::2]]).reshape(-1, 7)
-    return Model(ordinary, bad, fit_logistic(x, np.array(toxic[1::2], np.float64)))
+def _features(texts: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
+    """(label, turn, x): the numbers of whole texts."""
+    def run(batches):
+        distances = Distances(ordinary, toxic)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("body"))
+            x = [distances.features(data[offsets[i]: offsets[i + 1]].tobytes().lower()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("turn"), pa.array(x, pa.list_(pa.float64()))],
+                                             names=["label", "turn", "x"])
+
+    return texts.select("label", "turn", "body").mapInArrow(run, "label int, turn long, x array<double>")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -134,7 +164,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     not divisible by 5.
 
     Several labels of an id count as their largest; missing ids and labels are left out.  Without labels
-    of both kinds the score is the share of toxic labels (0.5 of a row added to each class).
+    of both kinds the score is the share of toxic labels (0.5 of a row added to each class).  The curve
+    is fitted on both halves of the ids, each measured by dictionaries of the other one; the model has
+    dictionaries of both.  Tasks read whole texts; only pieces that are kept and
+    the numbers of each text come to the driver.
     """
     usable = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
@@ -142,12 +175,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     order = F.xxhash64(F.col(id_col).cast("string"))
     chosen = [usable.filter(F.col("label") == k).orderBy(order, id_col).limit(sample_rows) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample_rows ids
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1)
-    rows = (docs.select(id_col, F.substring(text, (start + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("body"))
-            .join(ids, id_col).select("label", order.alias("turn"), "body").collect())
-    rows = sorted(rows, key=lambda r: (r["label"], r["turn"], r["body"]))
-    return train([r["body"].encode("utf-8", "surrogatepass") for r in rows], [r["label"] for r in rows])
+    half = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(2))
+    rows = (docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(ids, id_col)
+            .select("label", order.alias("turn"), half.alias("half"), "body"))
+    seen = stored(_seen(rows), "toxicity-pieces")
+    size = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
+    number = lambda halves: tuple(sum(size.get((h, k), 0) for h in halves) for k in (0, 1))
+    fit = []
+    for half in (0, 1):
+        pair = dictionaries(stored(_counted(seen.filter(F.col("half") == 1 - half)), "toxicity-counts"), number([1 - half]))
+        fit += _features(rows.filter(F.col("half") == half), *pair).collect()
+    fit.sort(key=lambda r: (r["label"], r["turn"], r["x"]))
+    every = stored(_counted(seen.drop("half").distinct()), "toxicity-counts")
+    x = np.array([r["x"] for r in fit]).reshape(-1, 7)
+    return Model(*dictionaries(every, number([0, 1])), fit_logistic(x, np.array([r["label"] for r in fit], np.float64)))
 
 
 def held_out(key):
