@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from themescope.llm import (
-    bpe, decontaminate, exact_dedup, jaccard, license_scan, phrase_dedup, quality, substring_dedup, toxicity, warc,
+    bpe, decontaminate, exact_dedup, jaccard, license_scan, phrase_dedup, piece_bpe, pivot_clusters, quality,
+    substring_dedup, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,4 +114,45 @@ def op10(spark, folder):
     return phrase_dedup.report(phrase_dedup.remove_recurring(table(spark, folder, "documents")))
 
 
+def _nearest_sql(name: str, centres: str) -> str:
+    """Each vector with its nearest centroid under ``centres``."""
+    gap = "list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"""{name} AS (SELECT vec_id, v, c, d FROM (
+        SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, c) AS place
+        FROM (SELECT q.row_id, q.vec_id, q.v, c.c, CAST({gap} AS BIGINT) AS d FROM q, {centres} c)) WHERE place = 1)"""
+
+
+def _centres_sql(name: str, assigned: str, before: str) -> str:
+    """floor(sum / count) by component; a centroid without vectors stays."""
+    return f"""{name} AS (SELECT c, coalesce(n.v, b.v) AS v FROM {before} b LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+        FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+              FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {assigned}) GROUP BY c, i)
+        GROUP BY c) n USING (c))"""
+
+
+@query("op11_pivot_clusters", f"""
+    WITH q AS (SELECT row_number() OVER () AS row_id, vec_id,
+                      list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+               FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), vec_id, v) - 1 AS c, v FROM q
+           ORDER BY c LIMIT 16),
+    {_nearest_sql("a1", "c0")}, {_centres_sql("c1", "a1", "c0")},
+    {_nearest_sql("a2", "c1")}, {_centres_sql("c2", "a2", "c1")},
+    {_nearest_sql("a3", "c2")}, {_centres_sql("c3", "a3", "c2")},
+    {_nearest_sql("a4", "c3")}
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+           CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+    FROM a4 JOIN c3 USING (c)
+""")
+def op11(spark, folder):
+    return pivot_clusters.pivot_clusters(table(spark, folder, "embeddings")).drop("exact_distances")
+
+
+@query("op12_piece_bpe")
+def op12(spark, folder):
+    return piece_bpe.encode_decode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
