@@ -42,10 +42,12 @@ class PieceBpe:
             raise ValueError(f"{path} normalises texts; only models that keep them as they are can be used")
         n = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(n)]
+        self.shown = [p.replace(SPACE, " ") for p in self.names]
+        self.decimal = list(map(str, range(n)))
         self.bytes_of = {i: int(self.names[i][3:5], 16) for i in range(n) if model.is_byte(i)}
-        self.byte_ids = np.zeros(256, np.int64)
+        self.byte_ids, self.is_byte = np.zeros(256, np.int64), np.zeros(n, bool)
         for i, b in self.bytes_of.items():
-            self.byte_ids[b] = i
+            self.byte_ids[b], self.is_byte[i] = i, True
         self.control = {i for i in range(n) if model.is_control(i)}
         self.unknown = {i for i in range(n) if model.is_unknown(i)}
         normal = {self.names[i]: i for i in range(n)
@@ -57,7 +59,6 @@ class PieceBpe:
         singles = [(ord(p), i) for p, i in normal.items() if len(p) == 1]
         points = np.array(singles, np.int64).reshape(-1, 2)
         self.symbols[points[:, 0]] = points[:, 1]
-        as_symbol = {**{p: i for p, i in normal.items()}}
         pairs: dict[int, int] = {}
         merged: dict[int, int] = {}
         for piece, i in normal.items():
@@ -65,8 +66,8 @@ class PieceBpe:
             rank = place[-model.get_score(i)]
             for a, b, c in itertools.combinations(range(size + 1), 3):
                 x, y = piece[a:b], piece[b:c]
-                left = as_symbol.get(x, ord(x) + n if len(x) == 1 else None)
-                right = as_symbol.get(y, ord(y) + n if len(y) == 1 else None)
+                left = normal.get(x, ord(x) + n if len(x) == 1 else None)
+                right = normal.get(y, ord(y) + n if len(y) == 1 else None)
                 if left is None or right is None:
                     continue
                 key = left << _WIDTH | right
@@ -74,13 +75,7 @@ class PieceBpe:
                     pairs[key], merged[key] = rank, i
                 else:
                     pairs.setdefault(key, int(_INSIDE))
-        keys = np.fromiter(pairs, np.int64, len(pairs))
-        sort = np.argsort(keys)
-        self.keys = np.append(keys[sort], np.iinfo(np.int64).max)
-        ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
-        self.ranks = np.append(ranks[sort], _CLOSED)
-        to = np.fromiter((merged.get(k, -1) for k in pairs), np.int64, len(pairs))
-        self.merged = np.append(to[sort], -1)
+        self._index(pairs, merged)
         # Where a word may end before a space or around a line break, whatever stands there.
         inner = any(SPACE in p.lstrip(SPACE) for p in normal)
         breaks = any("\n" in p for p in normal)
@@ -94,12 +89,39 @@ class PieceBpe:
         self.memory: dict[str, tuple[int, str, str]] = {}
         self.held = 0
 
+    def _index(self, pairs: dict[int, int], merged: dict[int, int]) -> None:
+        """An open table of the pairs, at most a quarter full: slots are tried one after another."""
+        bits = max(8, (4 * len(pairs)).bit_length())
+        self.shift, self.keys = np.uint64(64 - bits), np.full((1 << bits) + len(pairs), -1, np.int64)
+        self.ranks = np.full(len(self.keys), _CLOSED)
+        self.merged = np.full(len(self.keys), -1, np.int64)
+        todo = np.fromiter(pairs, np.int64, len(pairs))
+        ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
+        to = np.fromiter((merged.get(k, -1) for k in pairs), np.int64, len(pairs))
+        slot = self._slots(todo)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            taken, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[taken], self.ranks[taken], self.merged[taken] = todo[put], ranks[put], to[put]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, ranks, to, slot = todo[rest], ranks[rest], to[rest], slot[rest] + 1
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and the symbol it becomes."""
         key = left << _WIDTH | right
-        at = np.searchsorted(self.keys, key)
-        found = self.keys[at] == key
-        return np.where(found, self.ranks[at], _CLOSED), np.where(found, self.merged[at], -1)
+        slot = self._slots(key)
+        held = self.keys[slot]
+        other = np.flatnonzero((held != key) & (held != -1))
+        while len(other):
+            slot[other] += 1
+            held = self.keys[slot[other]]
+            other = other[(held != key[other]) & (held != -1)]
+        return self.ranks[slot], self.merged[slot]  # an empty slot holds a closed pair
 
     def merge(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of words given as code points one after another, and where each word begins.
@@ -197,17 +219,6 @@ class PieceBpe:
             sym, begin = out, np.append(to, len(out))[begin]
         return sym, np.append(begin, len(sym))
 
-    def _decode_words(self, ids: list[int], bounds: list[int]) -> list[str]:
-        names, raw = self.names, self.bytes_of
-        out = []
-        for a, b in zip(bounds, bounds[1:]):
-            part = ids[a:b]
-            if raw.keys().isdisjoint(part):
-                out.append("".join([names[i] for i in part]).replace(SPACE, " "))
-            else:
-                out.append(self._text(part))
-        return out
-
     def _text(self, ids: list[int]) -> str:
         """Pieces one after another; successive byte pieces are read as UTF-8, each bad byte as U+FFFD."""
         out = []
@@ -215,8 +226,7 @@ class PieceBpe:
             if byte:
                 out.append(_utf8(bytes([self.bytes_of[i] for i in group])))
             else:
-                out += [" ⁇ " if i in self.unknown else "" if i in self.control
-                        else self.names[i].replace(SPACE, " ") for i in group]
+                out += [" ⁇ " if i in self.unknown else "" if i in self.control else self.shown[i] for i in group]
         return "".join(out)
 
     def learn(self, words: set[str]) -> None:
@@ -228,14 +238,20 @@ class PieceBpe:
             while end < len(todo) and (end == at or size + len(todo[end]) <= FLAT_POINTS):
                 size += len(todo[end])
                 end += 1
-            ids, bounds = self.encode_words(todo[at:end])
-            ids, bounds = ids.tolist(), bounds.tolist()
-            texts = self._decode_words(ids, bounds)
-            decimal = list(map(str, ids))
-            for word, a, b, text in zip(todo[at:end], bounds, bounds[1:], texts):
-                line = ",".join(decimal[a:b])
-                self.memory[word] = (b - a, line, text)
-                self.held += _ENTRY_BYTES + 4 * (len(word) + len(text)) + len(line)
+            part = todo[at:end]
+            ids, bounds = self.encode_words(part)
+            counts = np.diff(bounds)
+            raw = np.flatnonzero(np.add.reduceat(self.is_byte[ids].astype(np.int64), bounds[:-1])).tolist()
+            ids, bounds, counts = ids.tolist(), bounds.tolist(), counts.tolist()
+            numbers, shown = list(map(self.decimal.__getitem__, ids)), list(map(self.shown.__getitem__, ids))
+            spans = list(map(slice, bounds[:-1], bounds[1:]))
+            lines = [",".join(numbers[x]) for x in spans]
+            texts = ["".join(shown[x]) for x in spans]
+            for i in raw:
+                texts[i] = self._text(ids[spans[i]])
+            self.memory.update(zip(part, zip(counts, lines, texts)))
+            self.held += (_ENTRY_BYTES * len(part) + sum(map(len, lines))
+                          + 4 * (sum(map(len, part)) + sum(map(len, texts))))
             at = end
 
     def encode_texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -243,13 +259,15 @@ class PieceBpe:
         if self.held > REMEMBERED_BYTES:
             self.clear()
         parts = [self.split(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        self.learn({w for p in parts for w in p}.difference(self.memory))
+        self.learn(set().union(*parts).difference(self.memory))
         get = self.memory.__getitem__
         out = []
         for words in parts:
-            found = [get(w) for w in words]
-            text = "".join([f[2] for f in found])
-            out.append((sum([f[0] for f in found]), ",".join([f[1] for f in found]), text[1:]))
+            if words:
+                counts, lines, shown = zip(*map(get, words))
+                out.append((sum(counts), ",".join(lines), "".join(shown)[1:]))
+            else:
+                out.append((0, "", ""))
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from themescope.llm import (
-    bpe, decontaminate, exact_dedup, jaccard, license_scan, phrase_dedup, piece_bpe, pivot_clusters, quality,
-    substring_dedup, toxicity, warc,
+    alignment, bpe, decontaminate, exact_dedup, jaccard, license_scan, phrase_dedup, piece_bpe, pivot_clusters,
+    quality, substring_dedup, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,4 +155,10 @@ def op12(spark, folder):
     return piece_bpe.encode_decode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query("op13_token_alignment")
+def op13(spark, folder):
+    return alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("piece_bpe_32k.model"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
