@@ -127,7 +127,8 @@ def test_blocks_and_memory_do_not_matter(spark, plain, monkeypatch):
         assert tuple(numbers[0]) == want[i][1:5], text
         assert (hashlib.sha256(lines[0].encode()).hexdigest() if lines[0] else "") == want[i][7], text
         links = collections.Counter(plain.links(*plain.tokens(text)))
-        assert {(int(p) >> 32, int(p) & 0xFFFFFFFF): int(n) for p, n in zip(pair, times)} == links
+        a, b = aligner.ids(pair)
+        assert dict(zip(zip(a.tolist(), b.tolist()), times.tolist())) == links
 
 
 def test_planes_hold_all_counts():
@@ -135,14 +136,14 @@ def test_planes_hold_all_counts():
     n_docs = 100
     seen = draw.integers(0, 40, (50, n_docs)) * (draw.random((50, n_docs)) < draw.random((50, 1)))
     pair, doc = np.nonzero(seen)
-    found = alignment.postings(pair.astype(np.int64) << 32 | 7, doc, seen[pair, doc], n_docs)
+    found = alignment.postings(pair.astype(np.int64), doc, seen[pair, doc], n_docs)
     assert set(found.column("dense").to_pylist()) == {False, True}
     planes, dense = found.column("plane").to_numpy(), np.array(found.column("dense").to_pylist())
-    bits, values = found.column("bits").to_pylist(), found.column("a").to_numpy().astype(np.int64) + 1
+    bits, values = found.column("bits").to_pylist(), found.column("pair").to_numpy() + 1
     want = (seen * (np.arange(50)[:, None] + 1)).sum(0)
     assert alignment.add_up(n_docs, planes, dense, bits, values).tolist() == want.tolist()
     popcounts = {a: sum(bin(x).count("1") for x in b) if d else len(b) // 2
-                 for a, p, d, b in zip(found.column("a").to_pylist(), planes, dense, bits) if p == 0}
+                 for a, p, d, b in zip(found.column("pair").to_pylist(), planes, dense, bits) if p == 0}
     assert popcounts == {i: int((seen[i] > 0).sum()) for i in range(50) if (seen[i] > 0).any()}
 
 

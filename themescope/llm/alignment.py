@@ -15,6 +15,7 @@ import functools
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from themescope.llm.common import groups_of_rows, stored, text_buffer
 #: (document, pair) entries and documents after which a block of postings is closed.
 BLOCK_ENTRIES, BLOCK_DOCS = 1 << 21, 1 << 16
 #: Bytes of remembered chunks of a task; then the memory starts anew.
-REMEMBERED_BYTES = 64 << 20
-_ENTRY_BYTES = 500
+REMEMBERED_BYTES = 128 << 20
+_ENTRY_BYTES = 300
+#: Chunks whose encodings, as the library gives them, are held at once.
+ENCODED_AT_ONCE = 4096
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 # Texts whose white space is single spaces and line breaks between words: every space begins a chunk, and so
@@ -60,6 +63,7 @@ class Aligner:
         self._bytes_b = _Bytes([bytes([self.b.bytes_of[i]]) if i in self.b.bytes_of else t.encode()
                                 for i, t in enumerate(self.b.shown)])
         na, nb = len(names_a), len(self.b.names)
+        self.bits_b = nb.bit_length()  # a pair of ids is one number
         # Decimal ids with what follows them: A within a group, A at its end, B within it, B at its end.
         self._shown = [f"{i}{end}" for n, end in ((na, ","), (na, "|"), (nb, ","), (nb, ";")) for i in range(n)]
         self._variant = np.cumsum([0, na, na, nb])
@@ -86,9 +90,12 @@ class Aligner:
             return
         # A space before the text comes from the chunk itself, so B's own prefix is not added.
         ids_b, bound_b = self.b.encode_words(chunks)
-        encoded = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        encoded = []
+        for at in range(0, len(chunks), ENCODED_AT_ONCE):
+            encoded += [e.ids for e in self.a.encode_batch_fast(chunks[at: at + ENCODED_AT_ONCE],
+                                                                add_special_tokens=False)]
         size_a = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids_a = np.fromiter((i for ids in encoded for i in ids), np.int64, int(size_a.sum()))
+        ids_a = np.fromiter(chain.from_iterable(encoded), np.int64, int(size_a.sum()))
         size_b = np.diff(bound_b)
         raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
         n_bytes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -100,7 +107,7 @@ class Aligner:
         end_a, end_b = np.cumsum(self._bytes_a.sizes[ids_a]), np.cumsum(self._bytes_b.sizes[ids_b])
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         parts = np.union1d(end_a, end_b)  # between two of these one token of each side overlaps
-        pairs = ids_a[np.searchsorted(end_a, parts)] << 32 | ids_b[np.searchsorted(end_b, parts)]
+        pairs = ids_a[np.searchsorted(end_a, parts)] << self.bits_b | ids_b[np.searchsorted(end_b, parts)]
         ends = np.cumsum(n_bytes)
         groups = np.diff(np.searchsorted(cuts, ends, "right"), prepend=0)
         links = np.diff(np.searchsorted(parts, ends, "right"), prepend=0)
@@ -121,14 +128,15 @@ class Aligner:
         self.held += _ENTRY_BYTES * len(chunks) + int(n_bytes.sum()) + sum(map(len, lines)) + 8 * len(pairs)
 
     def align(self, texts: list[str]):
-        """Per text the four numbers and the line of its groups; per (text, pair) how often it is linked."""
+        """Per text the four numbers and the line of its groups; then pairs in order of (a, b), the text each
+        is in, and how often it is linked there."""
         if self.held > REMEMBERED_BYTES:
             self.clear()
         cut = [self.chunks(t) if t else [] for t in texts]
         self.learn(list(set().union(*cut).difference(self.memory)))
         get = self.memory.__getitem__
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.fromiter((get(c) for chunks in cut for c in chunks), np.int64, int(counts.sum()))
+        flat = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(texts)), counts)
         bad = np.zeros(len(texts), bool)
         bad[owner[~self.fits[flat]]] = True
@@ -144,13 +152,16 @@ class Aligner:
             at += n
         first, size = self.pair_bounds[flat], np.diff(self.pair_bounds)[flat]
         places = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-        known, inverse = np.unique(self.pairs, return_inverse=True)
-        key = inverse[places] * len(texts) + np.repeat(owner, size)
+        bits = np.int64(len(texts).bit_length())
+        key = self.pairs[places] << bits | np.repeat(owner, size)
         key.sort()
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.append(head, len(key)))
         key = key[head]
-        return numbers, lines, known[key // max(1, len(texts))], key % max(1, len(texts)), times
+        return numbers, lines, key >> bits, key & ((1 << bits) - 1), times
+
+    def ids(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return pairs >> self.bits_b, pairs & ((1 << self.bits_b) - 1)
 
 
 class _Bytes:
@@ -185,7 +196,7 @@ def load(path_a: str, path_b: str) -> Aligner:
 
 
 def postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray, n_docs: int) -> pa.RecordBatch:
-    """Compressed bitmaps of one block, one row per pair and plane.
+    """Compressed bitmaps of one block, one row per pair and plane, from (pair, doc) in order.
 
     Plane 0 holds the documents with the pair, plane j + 1 those where bit j of (times - 1) is set.  A bitmap is
     a sorted list of 16-bit numbers, or plain bits where these are shorter.
@@ -202,11 +213,11 @@ def postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray, n_docs: int)
         size = np.diff(np.append(head, len(p)))
         dense = 2 * size > width
         listed = np.repeat(~dense, size)
-        numbers = d[listed].astype("<u2").tobytes()
+        numbers = d[listed].astype("<u2")
         upto = np.cumsum(2 * size[~dense])
         out.append((p[head][~dense], plane, False, pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(upto),
-            [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int64)), pa.py_buffer(numbers)])))
+            [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int64)), pa.py_buffer(numbers.tobytes())])))
         if dense.any():
             bits = np.zeros((int(dense.sum()), 8 * width), bool)
             bits[np.repeat(np.arange(len(bits)), size[dense]), d[~listed]] = True
@@ -214,10 +225,10 @@ def postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray, n_docs: int)
             out.append((p[head][dense], plane, True, pa.array([r.tobytes() for r in packed], pa.large_binary())))
     pairs = np.concatenate([o[0] for o in out])
     return pa.RecordBatch.from_arrays(
-        [pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()),
+        [pa.array(pairs, pa.int64()),
          pa.array(np.repeat([o[1] for o in out], [len(o[0]) for o in out]), pa.int32()),
          pa.array(np.repeat([o[2] for o in out], [len(o[0]) for o in out]), pa.bool_()),
-         pa.concat_arrays([o[3] for o in out]).cast(pa.binary())], names=["a", "b", "plane", "dense", "bits"])
+         pa.concat_arrays([o[3] for o in out]).cast(pa.binary())], names=["pair", "plane", "dense", "bits"])
 
 
 def add_up(n_docs: int, planes, dense, bits: list[bytes], values) -> np.ndarray:
@@ -262,11 +273,12 @@ def indexed(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
         block, place, entries, held = TaskContext.get().partitionId() << 24, 0, 0, []
 
         def closed():
-            pair, doc, times = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort([doc, pair])
+            pair, doc, times = (np.concatenate([h.pop(0) for h in held]) for _ in range(3))
+            order = np.argsort(pair, kind="stable")  # slices come in order of their documents
             found = postings(pair[order], doc[order], times[order], place)
-            return table(block=pa.array(np.full(len(found), block), pa.int64()),
-                         **{n: found.column(n) for n in ("a", "b", "plane", "dense", "bits")})
+            a, b = aligner.ids(found.column("pair").to_numpy())
+            return table(block=pa.array(np.full(len(found), block), pa.int64()), a=pa.array(a, pa.int32()),
+                         b=pa.array(b, pa.int32()), **{n: found.column(n) for n in ("plane", "dense", "bits")})
 
         for batch in batches:
             id_type = batch.column("id").type
@@ -279,7 +291,7 @@ def indexed(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                         block, place, entries, held = block + 1, 0, 0, []
                     numbers, lines, pair, doc, times = aligner.align(
                         [t or "" for t in part.column("text").to_pylist()])
-                    held.append((pair, doc + place, times))
+                    held.append([pair, (doc + place).astype(np.int32), times.astype(np.int32)])
                     entries += len(pair)
                     digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in lines]
                     yield table(block=pa.array(np.full(len(part), block), pa.int64()),
