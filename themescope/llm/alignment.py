@@ -27,10 +27,12 @@ from themescope.llm.bpe import byte_letters
 from themescope.llm.common import groups_of_rows, stored, text_buffer
 
 #: (document, pair) entries and documents after which a block of postings is closed.
-BLOCK_ENTRIES, BLOCK_DOCS = 1 << 21, 1 << 16
+BLOCK_ENTRIES, BLOCK_DOCS = 1 << 20, 1 << 16
 #: Bytes of remembered chunks of a task; then the memory starts anew.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 80 << 20
 _ENTRY_BYTES = 300
+#: Bytes of text aligned at once; a longer text stands alone.
+SLICE_BYTES = 1 << 20
 #: Chunks whose encodings, as the library gives them, are held at once.
 ENCODED_AT_ONCE = 4096
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -283,7 +285,7 @@ def indexed(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
         for batch in batches:
             id_type = batch.column("id").type
             _, offsets = text_buffer(batch.column("text"))
-            for a, b in groups_of_rows(offsets, 1 << 22):
+            for a, b in groups_of_rows(offsets, SLICE_BYTES):
                 for a in range(a, b, BLOCK_DOCS):
                     part = batch.slice(a, min(b - a, BLOCK_DOCS))
                     if held and (entries >= BLOCK_ENTRIES or place + len(part) > BLOCK_DOCS):
@@ -323,7 +325,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     rows and missing ids are documents of their own, other columns are ignored, an empty table gives none.
 
     Texts are encoded in one narrow pass, which stores the postings.  These are shuffled twice, by pair and by
-    block of documents; a frequent pair has one short row per block.  A task holds one slice of 4 MB of texts
+    block of documents; a frequent pair has one short row per block.  A task holds one slice of 1 MB of texts
     (or one longer text), REMEMBERED_BYTES of chunks and one block of BLOCK_ENTRIES postings.
     """
     kind = docs.schema[id_col].dataType

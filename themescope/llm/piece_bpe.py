@@ -21,7 +21,7 @@ from themescope.llm.common import groups_of_rows, text_buffer
 
 SPACE = "▁"
 #: Rank of a pair that is no piece itself but stands inside one, and of a boundary that no piece spans.
-_INSIDE, _CLOSED = np.int64(1 << 40), np.int64(1 << 41)
+_INSIDE, _CLOSED = np.int32(1 << 29), np.int32(1 << 30)
 _WIDTH = 21
 #: Bytes of remembered words of a task, strings and their bookkeeping; then the memory starts anew.
 REMEMBERED_BYTES = 80 << 20
@@ -55,7 +55,7 @@ class PieceBpe:
         order = sorted({-model.get_score(i) for i in normal.values()})
         place = {s: r for r, s in enumerate(order)}
         self.first = n  # symbols from here on: a code point without a piece
-        self.symbols = np.arange(0x110000, dtype=np.int64) + n
+        self.symbols = np.arange(n, 0x110000 + n, dtype=np.int32)
         singles = [(ord(p), i) for p, i in normal.items() if len(p) == 1]
         points = np.array(singles, np.int64).reshape(-1, 2)
         self.symbols[points[:, 0]] = points[:, 1]
@@ -93,8 +93,8 @@ class PieceBpe:
         """An open table of the pairs, at most a quarter full: slots are tried one after another."""
         bits = max(8, (4 * len(pairs)).bit_length())
         self.shift, self.keys = np.uint64(64 - bits), np.full((1 << bits) + len(pairs), -1, np.int64)
-        self.ranks = np.full(len(self.keys), _CLOSED)
-        self.merged = np.full(len(self.keys), -1, np.int64)
+        self.ranks = np.full(len(self.keys), _CLOSED, np.int32)
+        self.merged = np.full(len(self.keys), -1, np.int32)
         todo = np.fromiter(pairs, np.int64, len(pairs))
         ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
         to = np.fromiter((merged.get(k, -1) for k in pairs), np.int64, len(pairs))
@@ -113,7 +113,7 @@ class PieceBpe:
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and the symbol it becomes."""
-        key = left << _WIDTH | right
+        key = left.astype(np.int64) << _WIDTH | right
         slot = self._slots(key)
         held = self.keys[slot]
         other = np.flatnonzero((held != key) & (held != -1))
@@ -132,8 +132,8 @@ class PieceBpe:
         result = self.symbols[points]
         alive = np.ones(n, bool)  # places of ``result`` that still begin a symbol
         sym, at = result.copy(), np.arange(n)
-        rank = np.full(n, _CLOSED)  # of the pair that a symbol forms with the next one
-        target = np.full(n, -1, np.int64)
+        rank = np.full(n, _CLOSED, np.int32)  # of the pair that a symbol forms with the next one
+        target = np.full(n, -1, np.int32)
         if n > 1:
             rank[:-1], target[:-1] = self._look(sym[:-1], sym[1:])
         rank[starts[1:] - 1] = _CLOSED
