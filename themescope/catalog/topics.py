@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,7 @@ from themescope.catalog import stand_ins as si
 from themescope.catalog.registry import query, table, texts
 from themescope.operators import batching, embedding, extraction as ex, naming, ordering
 from themescope.functions import text as tx
-from themescope.plans.full_run import RunOptions, ledger_table, run_all
+from themescope.plans.full_run import RunOptions, extract_topics, ledger_table, run_all
 from themescope.session import scratch_path
 
 _PHRASES = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '(\p{{L}}{{4,}})', 1) AS w FROM documents),
@@ -137,3 +139,53 @@ def full_run(spark: SparkSession, folder: str) -> DataFrame:
     )
     options = RunOptions(scratch_path(spark, "full-run"), kmeans_starts=2, max_iter=10)
     return ledger_table(spark, run_all(docs, options).ledger)
+
+
+def _first_and_last_word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in for a model: the first and the last word of a text are its topics; it costs a token a word."""
+    for batch in batches:
+        words = [re.findall(r"[^ \t\n\r]+", text) for text in batch["narrative"]]
+        yield batch.drop(columns="narrative").assign(
+            model="words", model_rank=0, attempt=0, status=200, error_type=None,
+            raw=[json.dumps({"topics": [w[0], w[-1]]} if w else {}) for w in words],
+            prompt_tokens=[len(w) for w in words], completion_tokens=2)
+
+
+def _dies_late(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same model in a process that ends in the middle of the table."""
+    for batch in batches:
+        if (batch["complaint_id"] >= 150).any():
+            raise RuntimeError("the service is gone")
+        yield from _first_and_last_word(iter([batch]))
+
+
+@query("resumed_run", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM documents)
+SELECT doc_id AS complaint_id, CASE WHEN w[1] = w[-1] THEN w[1] ELSE w[1] || '|' || w[-1] END AS topics,
+       CAST(1 AS BIGINT) AS attempts, CAST(len(w) AS BIGINT) AS prompt_tokens FROM w WHERE len(w) > 0""")
+def resumed_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run whose model dies, continued by a second call: every row is asked for once in all."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("complaint_id"), F.col("text").alias("narrative"))
+    base = scratch_path(spark, "resumed-run")
+    try:
+        extract_topics(docs, RunOptions(base, extract_hook=_dies_late, commit_rows=25))
+    except Exception as error:  # noqa: BLE001 - whatever way the engine reports the death of a task
+        if "the service is gone" not in str(error):
+            raise
+    topics, _ = extract_topics(docs, RunOptions(base, extract_hook=_first_and_last_word, commit_chunks=4))
+    asked = spark.read.parquet(f"{base}/run/*/attempts").groupBy("complaint_id").agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum("prompt_tokens").alias("prompt_tokens"))
+    listed = F.array_join("all_topics_discussed", "|").alias("topics")
+    return topics.select("complaint_id", listed).join(asked, "complaint_id")
+
+
+@query("topics_in_two_calls", f"""WITH {_PHRASES}
+SELECT doc_id AS complaint_id, string_agg(phrase, '|' ORDER BY rank) AS topics FROM phrases
+WHERE rank <= {fv.MAX_TOPICS_PER_ROW} GROUP BY 1""")
+def topics_in_two_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """The default extractor over the English documents, then over all: the end is that of one call."""
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("complaint_id"), F.col("text").alias("narrative"), "lang")
+    options = RunOptions(scratch_path(spark, "two-calls"))
+    extract_topics(docs.filter("lang = 'en'"), options)
+    topics, _ = extract_topics(docs, options)
+    return topics.select("complaint_id", F.array_join("all_topics_discussed", "|").alias("topics"))

@@ -39,10 +39,24 @@ def phrases_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return NGram(n=2, inputCol="words", outputCol="phrases").transform(worded)
 
 
+def row_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """How often each phrase stands in each text, as rows (key, phrase, _tf).
+
+    Counted inside the row: the sorted phrases fall into runs of equal ones, so nothing is shuffled.
+    """
+    listed = phrases_of(df, key, text).select(key, F.array_sort("phrases").alias("_s"))
+    places = F.transform("_s", lambda x, i: F.when((i == 0) | (x != F.get("_s", i - 1)), i))
+    starts = listed.withColumn("_at", F.filter(places, lambda i: i.isNotNull()))
+    runs = F.transform("_at", lambda at, i: F.struct(
+        F.get("_s", at).alias("phrase"),
+        (F.coalesce(F.get("_at", i + 1), F.size("_s")) - at).cast("bigint").alias("_tf")))
+    told = starts.select(key, runs.alias("_run"))
+    return each_item(told, "_run").select(key, "_run.phrase", "_run._tf")
+
+
 def phrase_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """How often each phrase stands in each text, counted in one pass and stored."""
-    listed = phrases_of(df, key, text).select(key, F.col("phrases").alias("phrase"))
-    told = each_item(listed, "phrase").groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("_tf"))
+    """:func:`row_phrases`, stored."""
+    told = row_phrases(df, key, text)
     path = scratch_path(df.sparkSession, "phrases")
     told.write.parquet(path)
     return df.sparkSession.read.schema(told.schema).parquet(path)
@@ -53,19 +67,14 @@ def rarity(told: DataFrame) -> DataFrame:
     return told.groupBy("phrase").agg(F.count(F.lit(1)).alias("documents")).filter("documents > 1")
 
 
-def key_phrases(
-    df: DataFrame, key: str = "complaint_id", text: str = "narrative", top: int = fv.MAX_TOPICS_PER_ROW,
-    corpus: DataFrame | None = None,
+def rank_phrases(
+    told: DataFrame, counts: DataFrame, rows: int, key: str, top: int = fv.MAX_TOPICS_PER_ROW
 ) -> DataFrame:
     """The phrases with the highest count x ln((rows + 1) / (rows with it + 1)) of each text.
 
-    Rows are counted exactly, in ``corpus`` if that is given (it holds the rows of ``df`` and may hold
-    more), so a run in parts ranks phrases as one run does.  Most phrases occur in one row and have no
-    entry in the rarity table; the join on the phrase leaves a hot phrase to the skew handling of AQE.
+    ``counts`` may leave out phrases of a single row.  The join on the phrase leaves a hot phrase to the
+    skew handling of AQE.
     """
-    told = phrase_counts(df, key, text)
-    counts = rarity(told if corpus is None else phrase_counts(corpus, key, text))
-    rows = (df if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
     documents = F.coalesce("documents", F.lit(1))
     score = F.col("_tf") * F.ln((rows + 1.0) / (documents + 1.0))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "phrase"))
@@ -78,6 +87,21 @@ def key_phrases(
     )
 
 
+def key_phrases(
+    df: DataFrame, key: str = "complaint_id", text: str = "narrative", top: int = fv.MAX_TOPICS_PER_ROW,
+    corpus: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`rank_phrases` of every text.
+
+    Rows are counted exactly, in ``corpus`` if that is given (it holds the rows of ``df`` and may hold
+    more), so a part ranks its phrases as the whole does.
+    """
+    told = phrase_counts(df, key, text)
+    counts = rarity(told if corpus is None else phrase_counts(corpus, key, text))
+    rows = (df if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
+    return rank_phrases(told, counts, rows, key, top)
+
+
 def topic_lists(ranked: DataFrame, key: str = "complaint_id") -> DataFrame:
     """Ranked phrases as one topic list per row."""
     listed = F.sort_array(F.collect_list(F.struct("rank", "phrase")))
@@ -95,19 +119,21 @@ def lexicon_sentiment(
     return F.when(has(negative), "Negative").when(has(positive), "Positive").otherwise("Neutral")
 
 
+def default_answers(df: DataFrame, key: str = "complaint_id", text: str = "narrative") -> DataFrame:
+    """``df`` with all columns of a resolved model attempt but the topics."""
+    return df.withColumns({
+        "customer_sentiment": lexicon_sentiment(F.col(text)), "extraction_ok": F.lit(True),
+        "supporting_quote": F.lit(""), "ai_topic_reasoning": F.lit(""), "model_version": F.lit("default"),
+    })
+
+
 def default_topics(
     df: DataFrame, key: str = "complaint_id", text: str = "narrative", corpus: DataFrame | None = None
 ) -> DataFrame:
     """Results of the default extractor in the shape of resolved model attempts; ``corpus`` as in :func:`key_phrases`."""
-    sentiment = df.select(key, lexicon_sentiment(F.col(text)).alias("customer_sentiment"))
-    return (
-        sentiment.join(topic_lists(key_phrases(df, key, text, corpus=corpus), key), key, "left")
-        .withColumn("extraction_ok", F.col("all_topics_discussed").isNotNull())
-        .withColumns({
-            "supporting_quote": F.lit(""), "ai_topic_reasoning": F.lit(""),
-            "model_version": F.lit("default"),
-        })
-    )
+    answers = default_answers(df.select(key, text), key, text).drop(text)
+    topics = topic_lists(key_phrases(df, key, text, corpus=corpus), key)
+    return answers.join(topics, key, "left").withColumn("extraction_ok", F.col("all_topics_discussed").isNotNull())
 
 
 def run_hook(df: DataFrame, hook: Hook, schema: str | StructType, columns: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -11,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from themescope import fixed_values as fv
 from themescope.functions.responses import read_labels
 from themescope.functions.vectors import with_unit_features
-from themescope.operators import aggregates as agg, attempts as att, clustering, embedding, extraction
-from themescope.operators import joins, naming
+from themescope.operators import aggregates as agg, clustering, embedding, naming
 from themescope.operators.extraction import Hook
 from themescope.operators.guards import need_more_rows_than
 from themescope.operators.ordering import first_rows
 from themescope.operators.preparation import require_columns
+from themescope.plans import model_runs, phrase_state
 from themescope.plans.insights import generate_insights
-from themescope.schemas import RESPONSES
 from themescope.sources.readers import read_features, try_read
 from themescope.sources.writers import append_run, write_stage
 
@@ -36,6 +34,9 @@ class RunOptions:
     top_n: int = fv.TOP_THEMES
     seed: int = fv.SEED
     embed_model: str = "hashed-tfidf"
+    # A model's answers are committed in batches of commit_chunks chunks of commit_rows rows.
+    commit_rows: int = fv.CHECKPOINT_ROWS
+    commit_chunks: int = 1
     extract_hook: Hook | None = None
     embed_hook: Hook | None = None
     label_hook: Hook | None = None
@@ -49,46 +50,39 @@ class RunResult:
 
 
 def extract_topics(rows: DataFrame, options: RunOptions) -> tuple[DataFrame, dict]:
-    """Step 1: topics and sentiment for every row that has none yet."""
-    path = f"{options.folder}/topics"
+    """Step 1: topics and sentiment for every row that has none yet.
+
+    With a model, its answers are committed batch by batch; a call that died is continued by the next one.
+    The default extractor ends with the same topics however the rows arrived.
+    """
     chosen = first_rows(rows, ["complaint_id"], options.limit).withColumn(
         "dataset_id", F.lit(options.dataset_id)
     )
-    stored = try_read(rows.sparkSession, path) if options.resume else None
-    todo = chosen if stored is None else joins.not_done(chosen, stored)
     if options.extract_hook:
-        raw = extraction.run_hook(
-            todo.withColumn("narrative", F.coalesce("narrative", F.lit(""))), options.extract_hook,
-            RESPONSES, ["dataset_id", "complaint_id", "narrative"],
-        )
-        # Model calls are paid for: their answers are stored before anything reads them twice.
-        # Only this run's attempts decide, so a row that failed for good before can still succeed now.
-        run = uuid.uuid4().hex
-        attempts = append_run(raw.withColumn("run_id", F.lit(run)), f"{options.folder}/attempts", options.resume)
-        results = att.resolve_attempts(attempts.filter(F.col("run_id") == run))
+        written, done, before = model_runs.extract_with_hook(
+            chosen, options.folder, options.extract_hook, options.resume, options.commit_rows, options.commit_chunks)
+        new, tried = done.newly_processed, done.attempted
+        more = {"prompt_tokens": done.prompt_tokens, "completion_tokens": done.completion_tokens,
+                "failure_samples": list(done.failure_samples)}
     else:
-        # Phrase rarity comes from all chosen rows, so a resumed run ends as one run would.
-        results = extraction.default_topics(todo, corpus=None if stored is None else chosen).withColumn(
-            "dataset_id", F.lit(options.dataset_id)
-        )
-    columns = ["all_topics_discussed", "supporting_quote", "ai_topic_reasoning",
-               "customer_sentiment", "extraction_ok", "model_version"]
-    found = results.select(*joins.RUN_KEY, *columns)
-    joined = joins.attach_results(todo, found, joins.RUN_KEY).withColumn(
-        "process_time", F.date_trunc("second", F.current_timestamp())
-    )
-    before = 0 if stored is None else stored.filter(F.col("dataset_id") == options.dataset_id).count()
-    asked = todo.count()
-    written = append_run(joins.successful(joined), path, options.resume and stored is not None)
+        written, done = phrase_state.extract_default(chosen, options.folder, options.dataset_id, options.resume)
+        before, tried = done["resumed_from"], done["new"]
+        more = {"prompt_tokens": 0, "completion_tokens": 0, "failure_samples": [],
+                "ranked_again": done["ranked_again"]}
+        # Later steps read the topics several times.
+        written = write_stage(written, f"{options.folder}/topics_default")
     topics = written.filter(F.col("dataset_id") == options.dataset_id)
-    counted = topics.agg(
-        F.count(F.lit(1)).alias("rows_out"), F.sum(F.size("all_topics_discussed")).alias("total_topics")
-    ).first()
-    rows_in = chosen.count()
+    # One row per model that served: a scan of two narrow columns.
+    served = topics.groupBy("model_version").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("all_topics_discussed")).alias("topics")).collect()
+    rows_out = sum(r.n for r in served)
+    if not options.extract_hook:
+        new = rows_out - before
     return topics, {
-        "step": "extract_topics", "rows_in": rows_in, "rows_out": counted.rows_out,
-        "resumed_from": before, "newly_processed": counted.rows_out - before,
-        "failed": asked - (counted.rows_out - before), "total_topics": counted.total_topics or 0,
+        "step": "extract_topics", "rows_in": chosen.count(), "rows_out": rows_out,
+        "resumed_from": before, "newly_processed": new, "failed": tried - new,
+        "total_topics": sum(r.topics for r in served), **more,
+        "model_usage": {r.model_version: r.n for r in sorted(served, key=lambda r: (-r.n, r.model_version))},
     }
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from themescope import fixed_values as fv
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -30,11 +32,37 @@ def run_available(source: DataFrame, transform: Transform, sink: str, checkpoint
     interrupted, or repeated, ends with the same rows as one uninterrupted run.  Returns the
     number of source rows read.
     """
-    query = (
+    return _to_the_end(
         transform(source).writeStream.format("parquet").outputMode("append")
         .option("path", sink).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
     )
+
+
+def write_chunks(df: DataFrame, order: list[str], path: str, rows: int = fv.CHECKPOINT_ROWS) -> None:
+    """Store ``df`` in order as files of at most ``rows`` consecutive rows, the unit of :func:`run_chunks`."""
+    df.orderBy(*order).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def run_chunks(
+    spark: SparkSession, work: str, schema: StructType, transform: Transform, sink: str, checkpoint: str,
+    chunks_per_batch: int = 1,
+) -> int:
+    """Put the chunks stored in ``work`` through a costly ``transform``, batch by batch, and stop.
+
+    The result of a batch replaces the folder of that batch number, then the checkpoint moves on.  A run
+    that died is continued by calling this again: committed batches are not computed again, and a batch
+    that was written but not yet noted is written once more to the same place, so each row's result is
+    there once.  What a crash costs is the batch in flight.  Returns the number of rows read.
+    """
+    def commit(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    source = stream_table(spark, work, schema, files_per_batch=chunks_per_batch)
+    return _to_the_end(source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint))
+
+
+def _to_the_end(writer) -> int:
+    query = writer.trigger(availableNow=True).start()
     # Spark keeps the reports of the last batches only, so they are gathered while the query runs.
     rows: dict[int, int] = {}
     ended = False
