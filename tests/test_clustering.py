@@ -1,5 +1,7 @@
 """Vectors, silhouettes and k-means."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,14 +74,33 @@ def test_ties_go_to_the_lower_centroid(spark):
     assert [(r.cluster_id, r.square_distance) for r in got] == [(3, 1.0), (7, 1.0)]
 
 
-def test_too_many_clusters_for_a_task(spark, monkeypatch):
-    centres = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "centroid_id long, embedding array<float>")
-    monkeypatch.setattr(cl, "MAX_TABLE_VALUES", 4)
-    with pytest.raises(ValueError, match="3 clusters of width 2"):
-        cl.assign_to_centroids(centres, centres)
-    monkeypatch.setattr(cl, "MAX_CLUSTERS", 2)
-    with pytest.raises(ValueError, match="more than 2"):
-        cl.assign_to_centroids(centres, centres)
+def test_blocks_of_clusters_change_nothing(unit, spark, monkeypatch):
+    """One, two or all clusters per block, and slices of single points."""
+    whole = {tuple(r) for r in cl.point_silhouettes(unit, "label").select("id", F.round("silhouette", 9)).collect()}
+    for values in (2, 4, 1000):
+        monkeypatch.setattr(cl, "BLOCK_VALUES", values)
+        monkeypatch.setattr(cl, "SLICE_PAIRS", 1)
+        got = cl.point_silhouettes(unit, "label").select("id", F.round("silhouette", 9))
+        assert {tuple(r) for r in got.collect()} == whole
+    draw = random.Random(8)
+    points = spark.createDataFrame([(i, [draw.randrange(9) * 1.0, draw.randrange(9) * 1.0]) for i in range(300)], "id int, embedding array<double>")
+    centres = spark.createDataFrame([(i, [draw.randrange(9) * 1.0, draw.randrange(9) * 1.0]) for i in range(40)], "centroid_id long, embedding array<double>")
+    held = [(r.centroid_id, r.embedding) for r in centres.collect()]
+    for values in (2, 14, 1000):
+        monkeypatch.setattr(cl, "BLOCK_VALUES", values)
+        for r in cl.assign_to_centroids(points, centres).collect():
+            want = min((sum((a - b) ** 2 for a, b in zip(r.embedding, c)), i) for i, c in held)
+            assert (r.square_distance, r.cluster_id) == want
+
+
+def test_fifty_thousand_clusters(spark):
+    """10,000 clusters of two equal points and 40,000 of one."""
+    points = spark.range(60_000).selectExpr(
+        "id", "CAST(id % 50000 AS INT) AS cluster_id",
+        "array(cos(id % 50000), sin(id % 50000), cos(2 * (id % 50000))) AS embedding").repartition(8)
+    scored = cl.point_silhouettes(with_unit_features(points), "cluster_id")
+    report = scored.agg(F.count(F.lit(1)).alias("n"), F.min("silhouette").alias("low"), F.countDistinct("cluster_id").alias("k")).first()
+    assert (report.n, report.k) == (60_000, 50_000) and report.low > -0.01
 
 
 @pytest.fixture(scope="module")

@@ -14,6 +14,7 @@ from themescope.catalog import stand_ins as si
 from themescope.catalog.registry import query, table, texts
 from themescope.operators import batching, embedding, extraction as ex, naming, ordering
 from themescope.functions import text as tx
+from themescope.plans.label_runs import label_with_hook
 from themescope.plans.full_run import RunOptions, extract_topics, ledger_table, run_all
 from themescope.session import scratch_path
 
@@ -107,20 +108,72 @@ def model_hook(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select("complaint_id", "model", sum(parts[1:], parts[0]).alias("weighted"))
 
 
-@query("token_batches", f"""WITH RECURSIVE r AS (
+_BATCHES = f"""r AS (
   SELECT doc_id, greatest(1, length(text) // {fv.CHARS_PER_TOKEN}) AS tokens, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
 b AS (SELECT doc_id, tokens, i, 0::BIGINT AS batch, 1 AS items, tokens AS used FROM r WHERE i = 1
   UNION ALL SELECT r.doc_id, r.tokens, r.i,
     CASE WHEN items >= {fv.BATCH_ITEMS} OR used + r.tokens > {fv.BATCH_TOKENS} THEN batch + 1 ELSE batch END,
     CASE WHEN items >= {fv.BATCH_ITEMS} OR used + r.tokens > {fv.BATCH_TOKENS} THEN 1 ELSE items + 1 END,
     CASE WHEN items >= {fv.BATCH_ITEMS} OR used + r.tokens > {fv.BATCH_TOKENS} THEN r.tokens ELSE used + r.tokens END
-  FROM b JOIN r ON r.i = b.i + 1)
-SELECT doc_id, tokens, batch FROM b""")
+  FROM b JOIN r ON r.i = b.i + 1)"""
+
+
+@query("token_batches", f"WITH RECURSIVE {_BATCHES} SELECT doc_id, tokens, batch FROM b")
 def token_batches(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
     return batching.pack_batches(docs, "doc_id", "tokens")
 
 
+def _request_size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in for an embedding model: how many texts and estimated tokens each request held."""
+    for batch in batches:
+        tokens = (batch["text"].str.len() // fv.CHARS_PER_TOKEN).clip(lower=1)
+        size = [float(len(batch)), float(tokens.sum()), float(tokens.max())]
+        yield batch.drop(columns="text").assign(embedding=[size] * len(batch))
+
+
+@query("token_fed_hook", f"""WITH RECURSIVE {_BATCHES}
+SELECT doc_id AS complaint_id, CAST(count(*) OVER w AS BIGINT) AS items, CAST(sum(tokens) OVER w AS BIGINT) AS used,
+       count(*) OVER w <= {fv.BATCH_ITEMS} AND (sum(tokens) OVER w <= {fv.BATCH_TOKENS} OR count(*) OVER w = 1) AS within
+FROM b WINDOW w AS (PARTITION BY batch)""")
+def token_fed_hook(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("complaint_id"), "text")
+    vectors = embedding.embed_with(embedding.with_feature_key(docs, "sizes", "text"), _request_size, "text")
+    items, used = (F.get("embedding", F.lit(i)).cast("bigint") for i in (0, 1))
+    within = (items <= fv.BATCH_ITEMS) & ((used <= fv.BATCH_TOKENS) | (items == 1))
+    return vectors.select("complaint_id", items.alias("items"), used.alias("used"), within.alias("within"))
+
+
+def _names_with_trouble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in for two naming models: over quota, gone, slow to start, silent, or fine, by cluster."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples():
+            kind = row.cluster_id % 8
+            if row.model == "first" and (kind in (0, 4) or kind == 3 and row.attempt == 0):
+                out.append((row.cluster_id, 429, "RateLimitError", None))
+            elif row.model == "first" and kind in (1, 5):
+                out.append((row.cluster_id, 404, "NotFoundError", None))
+            elif row.model == "second" and kind == 4:
+                out.append((row.cluster_id, 200, None, '{"label": " "}'))
+            elif kind != 6 or row.model == "second":
+                out.append((row.cluster_id, 200, None, json.dumps({"label": f" {row.model}: {row.sampled} "})))
+        yield pd.DataFrame(out, columns=["cluster_id", "status", "error_type", "raw"])
+
+
+@query("cluster_names", f"""WITH {_SEEN}, c AS (SELECT cluster_id, least(count(*), {fv.SAMPLE_TOPICS}) AS sampled FROM seen GROUP BY 1),
+k AS (SELECT *, cluster_id % 8 AS kind FROM c)
+SELECT cluster_id, CASE WHEN kind = 4 THEN '{fv.FALLBACK_LABEL}' || cluster_id WHEN kind IN (0, 1, 5, 6) THEN 'second: ' || sampled
+            ELSE 'first: ' || sampled END AS label,
+       CASE WHEN kind = 4 THEN NULL WHEN kind IN (0, 1, 5, 6) THEN 'second' ELSE 'first' END AS model,
+       CAST(CASE WHEN kind IN (0, 4) THEN 3 WHEN kind IN (1, 3, 5, 6) THEN 2 ELSE 1 END AS BIGINT) AS attempts,
+       CASE WHEN kind = 4 THEN 'second - unusable response' END AS error FROM k""")
+def cluster_names(spark: SparkSession, folder: str) -> DataFrame:
+    samples = naming.topic_samples(si.topic_rows(spark, folder))
+    named = label_with_hook(samples, _names_with_trouble, scratch_path(spark, "names"), ("first", "second"))
+    return named.withColumn("label", naming.or_fallback(F.col("label"), F.col("cluster_id")))
+
+
 @query("checkpoint_chunks", f"""SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {fv.CHECKPOINT_ROWS} AS BIGINT) AS chunk FROM documents""")
 def checkpoint_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.with_chunks(table(spark, folder, "documents").select("doc_id"), ["doc_id"])

@@ -6,6 +6,7 @@ of points is ever formed: the cost is rows x clusters, in one pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -20,11 +21,12 @@ from themescope import fixed_values as fv
 from themescope.functions.vectors import FEATURES, as_matrix
 from themescope.operators.guards import need_more_rows_than
 from themescope.operators.small import small_side
+from themescope.session import scratch_path
 
-# A table of clusters is sent to every task if it stays within these bounds (clusters, and
-# clusters x dimensions).
-MAX_CLUSTERS = 20_000
-MAX_TABLE_VALUES = 32_000_000
+# Cluster tables of any size are taken in blocks of so many values (clusters x dimensions) at most, and a
+# task compares a batch of points with a block in slices of so many pairs.
+BLOCK_VALUES = 4_000_000
+SLICE_PAIRS = 2_000_000
 
 
 def best_kmeans(
@@ -78,49 +80,96 @@ def inertia(unit: DataFrame, cluster: str) -> DataFrame:
     return cluster_table(unit, cluster).select(cluster, "n", spread.alias("inertia"))
 
 
-def _local_table(table: DataFrame, order: str, vector: str) -> pa.Table:
-    """One row per cluster, in order, on the driver: a single job behind a size check."""
-    rows = table.limit(MAX_CLUSTERS + 1).toArrow().sort_by(order)
-    if rows.num_rows > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters: their table would not fit every task")
-    width = len(rows.column(vector)[0]) if rows.num_rows else 0
-    if rows.num_rows * width > MAX_TABLE_VALUES:
-        raise ValueError(f"{rows.num_rows} clusters of width {width} would not fit every task")
-    return rows
+def _cluster_blocks(table: DataFrame, order: str, vector: str) -> Iterator[tuple[bool, pa.Table]]:
+    """The rows of a cluster table in order, as blocks small enough for every task; True marks the last one.
+
+    The driver holds one block at a time, however many clusters there are.
+    """
+    rows = table.filter(F.col(order).isNotNull())
+    path = scratch_path(table.sparkSession, "clusters")
+    rows.orderBy(order).write.parquet(path)
+    kept = table.sparkSession.read.schema(rows.schema).parquet(path)
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("width")).first()
+    per_block = max(1, BLOCK_VALUES // max(1, size.width or 1))
+    if size.n <= per_block:
+        yield True, kept.toArrow().sort_by(order)
+        return
+    held, seen = [], 0
+    for row in kept.orderBy(order).toLocalIterator():
+        held.append(row.asDict())
+        seen += 1
+        if len(held) == per_block or seen == size.n:
+            yield seen == size.n, pa.Table.from_pylist(held)
+            held = []
+
+
+def _through_blocks(df: DataFrame, blocks: Iterator[tuple[bool, pa.Table]], step: Callable) -> DataFrame:
+    """``df`` with the column ``_state`` after ``step(df, block)`` for each block.
+
+    One block makes one lazy pass.  With more of them the points are stored between passes, so no task ever
+    holds two blocks.
+    """
+    for last, block in blocks:
+        df = step(df, block)
+        if not last:
+            path = scratch_path(df.sparkSession, "points")
+            df.write.parquet(path)
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
+    return df
+
+
+def _slices(points: int, clusters: int) -> Iterator[slice]:
+    step = max(1, SLICE_PAIRS // max(1, clusters))
+    return (slice(at, min(at + step, points)) for at in range(0, points, step))
+
+
+_SEEN = pa.struct([("near", pa.float64()), ("inner", pa.float64()), ("mates", pa.float64())])
 
 
 def point_silhouettes(unit: DataFrame, cluster: str) -> DataFrame:
     """Add each point's cosine silhouette; 0 in a cluster of one.
 
     The mean distance to a cluster is 1 - x.S/n with S the sum of its unit vectors; in the
-    point's own cluster the point itself is left out.
+    point's own cluster the point itself is left out.  A point without a cluster scores 0.
     """
-    table = _local_table(cluster_table(unit, cluster), cluster, "vector_sum")
-    names = np.array(table.column(cluster).to_pylist())
-    shared = unit.sparkSession.sparkContext.broadcast((
-        names, np.asarray(table.column("n").to_pylist(), dtype=np.float64),
-        as_matrix(table.column("vector_sum").combine_chunks()),
-    ))
-
-    @F.arrow_udf("double")
-    def score(vectors: pa.Array, labels: pa.Array) -> pa.Array:
-        clusters, sizes, sums = shared.value
-        x = as_matrix(vectors)
-        if not len(x):
-            return pa.array([], type=pa.float64())
-        own = np.searchsorted(clusters, labels.to_numpy(zero_copy_only=False))
-        row = np.arange(len(x))
-        dots = x @ sums.T
-        others = 1.0 - dots / sizes
-        others[row, own] = np.inf
-        near = others.min(axis=1)
-        mates = sizes[own] - 1.0
-        inner = 1.0 - (dots[row, own] - (x * x).sum(axis=1)) / np.maximum(mates, 1.0)
-        widest = np.maximum(inner, near)
-        valid = (mates > 0) & np.isfinite(near) & (widest > 0)
-        return pa.array(np.where(valid, (near - inner) / np.where(valid, widest, 1.0), 0.0))
-
-    return unit.withColumn("silhouette", score(vector_to_array(F.col(FEATURES)), F.col(cluster)))
+    def step(points: DataFrame, block: pa.Table) -> DataFrame:
+        names = np.array(block.column(cluster).to_pylist())
+        shared = unit.sparkSession.sparkContext.broadcast((
+            names, np.asarray(block.column("n").to_pylist(), dtype=np.float64),
+            as_matrix(block.column("vector_sum").combine_chunks()),
+        ))
+
+        @F.arrow_udf("struct<near double, inner double, mates double>")
+        def seen(vectors: pa.Array, labels: pa.Array, before: pa.Array) -> pa.Array:
+            clusters, sizes, sums = shared.value
+            x = as_matrix(vectors)
+            if not len(x):
+                return pa.array([], type=_SEEN)
+            near, inner, mates = (before.field(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(3))
+            known = labels.is_valid().to_numpy(zero_copy_only=False)
+            label = labels.fill_null(clusters[0].item()).to_numpy(zero_copy_only=False)
+            own = np.minimum(np.searchsorted(clusters, label), len(clusters) - 1)
+            here = known & (clusters[own] == label)
+            for part in _slices(len(x), len(clusters)):
+                dots = x[part] @ sums.T
+                others = 1.0 - dots / sizes
+                row, home = np.flatnonzero(here[part]), own[part][here[part]]
+                others[row, home] = np.inf
+                near[part] = np.fmin(near[part], others.min(axis=1))
+                at = row + part.start
+                mates[at] = sizes[home] - 1.0
+                inner[at] = 1.0 - (dots[row, home] - (x[at] * x[at]).sum(axis=1)) / np.maximum(mates[at], 1.0)
+            return pa.StructArray.from_arrays([pa.array(v) for v in (near, inner, mates)], fields=list(_SEEN))
+
+        return points.withColumn("_state", seen(vector_to_array(F.col(FEATURES)), F.col(cluster), F.col("_state")))
+
+    start = F.struct(*[F.lit(float("nan")).alias(f.name) for f in _SEEN]).alias("_state")
+    points = _through_blocks(
+        unit.select("*", start), _cluster_blocks(cluster_table(unit, cluster), cluster, "vector_sum"), step)
+    near, inner, mates = (F.col(f"_state.{f.name}") for f in _SEEN)
+    widest = F.greatest(inner, near)
+    valid = ~F.isnan(mates) & (mates > 0) & (near < float("inf")) & (widest > 0)
+    return points.withColumn("silhouette", F.when(valid, (near - inner) / widest).otherwise(0.0)).drop("_state")
 
 
 def silhouette_report(scored: DataFrame, cluster: str) -> DataFrame:
@@ -168,28 +217,39 @@ def assign_to_centroids(
     df: DataFrame, centroids: DataFrame, vector: str = "embedding", centroid_id: str = "centroid_id"
 ) -> DataFrame:
     """Add the id of the nearest centroid and the squared distance; ties go to the lower id."""
-    table = _local_table(centroids.select(centroid_id, vector), centroid_id, vector)
-    shared = df.sparkSession.sparkContext.broadcast((
-        np.asarray(table.column(centroid_id).to_pylist(), dtype=np.int64),
-        as_matrix(table.column(vector).combine_chunks()),
-    ))
-
-    @F.arrow_udf("struct<id bigint, distance double>")
-    def nearest(vectors: pa.Array) -> pa.Array:
-        ids, centres = shared.value
-        x = as_matrix(vectors)
-        if not len(x):
-            return pa.array([], type=pa.struct([("id", pa.int64()), ("distance", pa.float64())]))
-        squares = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(axis=1)
-        best = squares.argmin(axis=1)
-        gaps = x - centres[best]
-        return pa.StructArray.from_arrays(
-            [pa.array(ids[best]), pa.array((gaps * gaps).sum(axis=1))], names=["id", "distance"]
-        )
-
+    kind = pa.struct([("id", pa.int64()), ("distance", pa.float64())])
+
+    def step(points: DataFrame, block: pa.Table) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast((
+            np.asarray(block.column(centroid_id).to_pylist(), dtype=np.int64),
+            as_matrix(block.column(vector).combine_chunks()),
+        ))
+
+        @F.arrow_udf("struct<id bigint, distance double>")
+        def nearest(vectors: pa.Array, before: pa.Array) -> pa.Array:
+            ids, centres = shared.value
+            x = as_matrix(vectors)
+            if not len(x):
+                return pa.array([], type=kind)
+            found = before.field(0).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+            distance = before.field(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            lengths = (centres * centres).sum(axis=1)
+            for part in _slices(len(x), len(centres)):
+                best = (lengths - 2.0 * (x[part] @ centres.T)).argmin(axis=1)
+                gaps = x[part] - centres[best]
+                squares = (gaps * gaps).sum(axis=1)
+                closer = squares < distance[part]  # blocks come in order of their ids
+                found[part] = np.where(closer, ids[best], found[part])
+                distance[part] = np.where(closer, squares, distance[part])
+            return pa.StructArray.from_arrays([pa.array(found), pa.array(distance)], fields=list(kind))
+
+        return points.withColumn("_state", nearest(F.col(vector), F.col("_state")))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(float("inf")).alias("distance")).alias("_state")
+    blocks = _cluster_blocks(centroids.select(centroid_id, vector), centroid_id, vector)
     return (
-        df.withColumn("_near", nearest(F.col(vector)))
-        .withColumn("cluster_id", F.col("_near.id"))
-        .withColumn("square_distance", F.col("_near.distance"))
-        .drop("_near")
+        _through_blocks(df.select("*", start), blocks, step)
+        .withColumn("cluster_id", F.col("_state.id"))
+        .withColumn("square_distance", F.col("_state.distance"))
+        .drop("_state")
     )

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from themescope.operators.extraction import Hook, run_hook
+from themescope import fixed_values as fv
+from themescope.functions.nulls import or_empty
+from themescope.functions.text import token_estimate
+from themescope.operators.batching import pack_batches
+from themescope.operators.extraction import Hook
 from themescope.schemas import FEATURES
 
 FEATURE_KEY = ["complaint_id", "model", "text_hash"]
@@ -48,7 +53,22 @@ def cache_split(keyed: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def embed_with(df: DataFrame, hook: Hook, text: str = "narrative") -> DataFrame:
+def embed_with(
+    df: DataFrame, hook: Hook, text: str = "narrative", max_items: int = fv.BATCH_ITEMS,
+    max_tokens: int = fv.BATCH_TOKENS,
+) -> DataFrame:
     """Vectors from a caller's model: it gets ``(complaint_id, model, text_hash, text)`` batches and
-    yields ``(complaint_id, model, text_hash, embedding)``."""
-    return run_hook(df, hook, FEATURES, [*FEATURE_KEY, text])
+    yields ``(complaint_id, model, text_hash, embedding)``.
+
+    Each batch it gets is one request: texts in order of their ids, at most ``max_items`` of them and
+    ``max_tokens`` estimated tokens, or one longer text.  Batches are dealt over the tasks by their number.
+    """
+    keyed = df.select(*FEATURE_KEY, text)
+    sized = keyed.select("complaint_id", token_estimate(or_empty(F.col(text))).alias("_tokens"))
+    placed = pack_batches(sized, "complaint_id", "_tokens", max_items, max_tokens).select("complaint_id", "batch")
+
+    def request(group: pd.DataFrame) -> pd.DataFrame:
+        asked = group.drop(columns="batch").sort_values("complaint_id", ignore_index=True)
+        return pd.concat(list(hook(iter([asked]))), ignore_index=True)[FEATURES.names]
+
+    return keyed.join(placed, "complaint_id").groupBy("batch").applyInPandas(request, FEATURES)

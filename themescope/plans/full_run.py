@@ -8,14 +8,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
-from themescope.functions.responses import read_labels
 from themescope.functions.vectors import with_unit_features
 from themescope.operators import aggregates as agg, clustering, embedding, naming
 from themescope.operators.extraction import Hook
 from themescope.operators.guards import need_more_rows_than
 from themescope.operators.ordering import first_rows
 from themescope.operators.preparation import require_columns
-from themescope.plans import model_runs, phrase_state
+from themescope.plans import label_runs, model_runs, phrase_state
 from themescope.plans.insights import generate_insights
 from themescope.sources.readers import read_features, try_read
 from themescope.sources.writers import append_run, write_stage
@@ -34,12 +33,15 @@ class RunOptions:
     top_n: int = fv.TOP_THEMES
     seed: int = fv.SEED
     embed_model: str = "hashed-tfidf"
+    embed_dimensions: int = 256
     # A model's answers are committed in batches of commit_chunks chunks of commit_rows rows.
     commit_rows: int = fv.CHECKPOINT_ROWS
     commit_chunks: int = 1
     extract_hook: Hook | None = None
     embed_hook: Hook | None = None
     label_hook: Hook | None = None
+    # Models asked for cluster names, in order; the hook is told which one is meant.
+    label_models: tuple[str, ...] = ("default",)
 
 
 @dataclass
@@ -96,7 +98,7 @@ def store_vectors(topics: DataFrame, options: RunOptions) -> DataFrame:
         append_run(embedding.embed_with(missing, options.embed_hook), path)
     else:
         # The default weights depend on all texts, so its vectors are always made together.
-        vectors = embedding.hashed_tfidf(keyed, "narrative")
+        vectors = embedding.hashed_tfidf(keyed, "narrative", options.embed_dimensions)
         write_stage(vectors.select(*embedding.FEATURE_KEY, "embedding"), path)
     features = read_features(spark, path)
     wanted = keyed.select(*embedding.FEATURE_KEY)
@@ -132,9 +134,8 @@ def cluster_rows(topics: DataFrame, options: RunOptions) -> tuple[DataFrame, dic
 def label_clusters(clustered: DataFrame, options: RunOptions) -> tuple[DataFrame, dict]:
     """Step 3: a theme name per cluster, put on its rows."""
     if options.label_hook:
-        samples = naming.topic_samples(clustered)
-        answers = samples.mapInPandas(options.label_hook, "cluster_id int, raw string")
-        labels = read_labels(write_stage(answers, f"{options.folder}/label_responses"))
+        labels = label_runs.label_with_hook(
+            naming.topic_samples(clustered), options.label_hook, f"{options.folder}/labels", options.label_models)
     else:
         labels = naming.distinctive_labels(clustered)
     output = write_stage(naming.label_rows(clustered, labels), f"{options.folder}/output")
@@ -145,10 +146,13 @@ def label_clusters(clustered: DataFrame, options: RunOptions) -> tuple[DataFrame
             F.col("cluster_id"),
         )).alias("fallbacks"),
     ).first()
+    failed = [] if not options.label_hook else (
+        labels.filter("label IS NULL").select("cluster_id", "error").orderBy("cluster_id").limit(fv.ERROR_SAMPLES).collect())
     share = agg.largest_share(output, "general_topic_l1").first()
     return output, {
         "step": "label_clusters", "clusters_labelled": themes.clusters, "output_rows": themes.rows,
         "clusters_using_fallback_name": themes.fallbacks, "largest_theme_share": share.largest_share,
+        "failure_samples": [f"{r.cluster_id}: {r.error}"[: fv.MAX_ERROR_CHARS] for r in failed],
     }
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.operators import extraction as ex, joins
@@ -70,9 +70,8 @@ class PhraseState:
         """
         last, rows_before = self.last()
         number = last + 1
-        counted = Observation("new")
-        new_rows = self.put(todo.select(KEY).observe(counted, F.count(F.lit(1)).alias("rows")), "seen", number)
-        new = int(counted.get["rows"])
+        new_rows = self.put(todo.select(KEY), "seen", number)
+        new = new_rows.count()  # the files' footers know it
         if not new:
             return {"new": 0, "ranked_again": 0}
         told = self.put(ex.row_phrases(todo, KEY, text), "counts", number)
@@ -94,10 +93,8 @@ class PhraseState:
             changed = held.join(lists.withColumnRenamed("all_topics_discussed", "_now"), KEY).filter(
                 F.col("all_topics_discussed") != F.col("_now"))
             topics = topics.unionByName(changed.withColumn("all_topics_discussed", F.col("_now")).select(*topics.columns))
-        written = Observation("topics")
-        self.put(topics.observe(written, F.count(F.lit(1)).alias("rows")), "topics", number)
-        with_topics = new_rows.join(told.select(KEY).distinct(), KEY, "left_semi").count()
-        changed_rows = int(written.get["rows"]) - with_topics
+        written = self.put(topics, "topics", number).select(KEY)
+        changed_rows = 0 if again is None else written.join(new_rows, KEY, "left_anti").count()
         append_run(self.spark.createDataFrame([(number, rows_before + new, changed_rows)], REVISIONS).coalesce(1),
                    f"{self.base}/revisions")
         return {"new": new, "ranked_again": changed_rows}
