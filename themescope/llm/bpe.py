@@ -40,7 +40,7 @@ _LATER_LOWER = {
     0xa7dc: 0x19b, **{c: c + 0x20 for c in range(0x10d50, 0x10d66)}, **{c: c + 0x1b for c in range(0x16ea0, 0x16eb9)},
 }
 #: Runs without white space of which a task remembers the ids, in each half of its memory.
-REMEMBERED_WORDS = 350_000
+REMEMBERED_WORDS = 200_000
 #: Longer ones are encoded each time they come.
 REMEMBERED_LENGTH = 64
 
@@ -50,54 +50,52 @@ def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]
     n = len(symbols)
     if n < 2:
         return symbols
+    get = ranks.get
+    found = list(map(get, zip(symbols, symbols[1:])))
     if n == 2:
-        got = ranks.get((symbols[0], symbols[1]))
-        return [got[1]] if got else symbols
+        return [found[0][1]] if found[0] else symbols
     size = 1 << (n - 2).bit_length()
-    tree = [_NONE] * (2 * size)
-    get = ranks.get
-    for i in range(n - 1):
-        got = get((symbols[i], symbols[i + 1]))
-        if got:
-            tree[size + i] = got[0] * n + i  # the place decides between equal ranks
+    # leaves: rank and place of each pair as one number, so the place decides between equal ranks
+    tree = [_NONE] * size
+    tree += [got[0] * n + i if got else _NONE for i, got in enumerate(found)]
+    tree += [_NONE] * (2 * size - len(tree))
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
     symbols = list(symbols)
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
     while tree[1] < _NONE:
         i = tree[1] % n
         j = after[i]
-        symbols[i] = ranks[symbols[i], symbols[j]][1]
+        symbols[i] = merged = get((symbols[i], symbols[j]))[1]
         k = after[j]
         after[i] = k
         symbols[j] = -1
-        if j < n - 1:
-            put(j, _NONE)
+        # the pairs that begin at i, at j, and before i
         if k < n:
             before[k] = i
-            got = get((symbols[i], symbols[k]))
-            put(i, got[0] * n + i if got else _NONE)
+            got = get((merged, symbols[k]))
+            changed = [(i, got[0] * n + i if got else _NONE), (j, _NONE)]
         else:
-            put(i, _NONE)
+            changed = [(i, _NONE), (j, _NONE)] if j < n - 1 else [(i, _NONE)]
         h = before[i]
         if h >= 0:
-            got = get((symbols[h], symbols[i]))
-            put(h, got[0] * n + h if got else _NONE)
+            got = get((symbols[h], merged))
+            changed.append((h, got[0] * n + h if got else _NONE))
+        for at, low in changed:
+            at += size
+            if tree[at] == low:
+                continue
+            tree[at] = low
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < low:
+                    low = other
+                at >>= 1
+                if tree[at] == low:
+                    break
+                tree[at] = low
     return [s for s in symbols if s >= 0]
 
 
@@ -140,15 +138,22 @@ class WordBpe:
         self.words = regex.compile(split, regex.VERSION1).findall
         self.spaces = regex.compile(r"\s+").sub
         self.marks = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.inner = [self.vocab.get(x) for x in letters]
+        self.last = [self.vocab.get(x + self.suffix) for x in letters]
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
 
     def encode_word(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.suffix
-        vocab = self.vocab
-        return merge_word([vocab[x] for x in letters if x in vocab], self.ranks)
+        raw = word.encode("utf-8", "surrogatepass")
+        symbols = [self.inner[b] for b in raw[:-1]]
+        symbols.append(self.last[raw[-1]])
+        if None in symbols:  # bytes that the vocabulary lacks
+            symbols = [x for x in symbols if x is not None]
+        return merge_word(symbols, self.ranks)
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids of a run without white space, as little-endian 32-bit integers, and their decoding."""
@@ -238,6 +243,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         bpe = load(path)
+        bpe.forget()
         for batch in batches:
             _, offsets = text_buffer(batch.column(text_col))
             for a, b in groups_of_rows(offsets, 1 << 20):
@@ -262,5 +268,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     columns.append(pa.array(decoded, pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()  # the worker goes on with other work
 
     return docs.select(*dict.fromkeys([id_col, *keep, text_col])).mapInArrow(run, schema)

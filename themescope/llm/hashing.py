@@ -25,7 +25,7 @@ def _table(kind: str, n: int) -> np.ndarray:
         steps = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 1 << 22:
+        if size <= 1 << 20:  # a worker keeps 8 MB of each
             _powers[kind] = have
     return have[:n]
 

@@ -28,6 +28,8 @@ COMBINED_SIZE = 200
 #: Tokens that are common in a task's batch go to the end of the order; so many of them are sent to all
 #: tasks at most.  The order decides what is cheap, never what is found.
 ORDERED_TOKENS = 100_000
+#: Bytes of text whose tokens a task counts at once.
+SLICE_BYTES = 1 << 22
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 16
 #: Rows of (class, document) that are sent to all tasks at most.
@@ -74,38 +76,41 @@ def _described(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
     sketches = pa.list_(pa.int64())
 
     def run(batches):
-        for batch in batches:
-            keys = batch.column(ROW_KEY).to_pylist()
-            sizes, names, bits, every, known = [], [], [], [], set()
-            for _, tokens in _sets(batch, text_col, n):
-                sizes.append(len(tokens))
-                names.append(_class(tokens))
-                bits.append(_sketch(tokens))
-                if names[-1] not in known:
-                    known.add(names[-1])
-                    every.append(tokens)
-            rows = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()),
-                 pa.array(bits, sketches), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
-                names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
-            token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
-            common = count >= max(4, len(known) // 1000)
-            token, count = token[common].view(np.int64), count[common]
-            rows = len(token)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, sketches),
-                 pa.array(token), pa.array(count, pa.int64())], names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
+        for whole in batches:
+            _, offsets = text_buffer(whole.column(text_col))
+            for a, b in groups_of_rows(offsets, SLICE_BYTES):
+                batch = whole.slice(a, b - a)
+                keys = batch.column(ROW_KEY)
+                sizes, names, bits, every, known = [], [], [], [], set()
+                for _, tokens in _sets(batch, text_col, n):
+                    sizes.append(len(tokens))
+                    names.append(_class(tokens))
+                    bits.append(_sketch(tokens))
+                    if names[-1] not in known:
+                        known.add(names[-1])
+                        every.append(tokens)
+                rows = len(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(sizes, pa.int32()), pa.array(names, pa.int64()),
+                     pa.array(bits, sketches), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
+                    names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
+                token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+                common = count >= max(4, len(known) // 1000)
+                token, count = token[common].view(np.int64), count[common]
+                rows = len(token)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, sketches),
+                     pa.array(token), pa.array(count, pa.int64())], names=[ROW_KEY, "n", "c", "sketch", "token", "seen"])
 
     return stored(keyed.select(ROW_KEY, text_col).mapInArrow(
         run, f"{ROW_KEY} long, n int, c long, sketch array<long>, token long, seen long"), "jaccard-sets")
 
 
 def _prefixes(keyed: DataFrame, text_col: str, n: int, percent: int, common) -> DataFrame:
-    """(token, c, n, pos) of the extended prefix of each set, once per class and batch."""
+    """(token, c, n, pos, common) of the extended prefix of each set, once per class and slice."""
     def run(batches):
         late, weight = common.value
-        for batch in batches:
+        for batch in sliced(batches):
             known, out = set(), []
             for _, tokens in _sets(batch, text_col, n):
                 size, name = len(tokens), _class(tokens)
@@ -117,29 +122,95 @@ def _prefixes(keyed: DataFrame, text_col: str, n: int, percent: int, common) ->
                     at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
                     rank = np.where(late[at] == tokens, weight[at], 0)
                 length = min(size, size - (percent * size + 99) // 100 + 2)
-                kept = tokens[np.lexsort((tokens, rank))[:length]]
-                out.append((kept, name, size))
+                chosen = np.lexsort((tokens, rank))[:length]
+                out.append((tokens[chosen], name, size, rank[chosen] > 0))
             if out:
-                sizes = np.array([len(t) for t, _, _ in out])
+                sizes = np.array([len(t[0]) for t in out])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([t for t, _, _ in out]).view(np.int64)),
-                     pa.array(np.repeat(np.array([c for _, c, _ in out], np.int64), sizes)),
-                     pa.array(np.repeat(np.array([s for _, _, s in out], np.int32), sizes)),
-                     pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]))],
-                    names=["token", "c", "n", "pos"])
+                    [pa.array(np.concatenate([t[0] for t in out]).view(np.int64)),
+                     pa.array(np.repeat(np.array([t[1] for t in out], np.int64), sizes)),
+                     pa.array(np.repeat(np.array([t[2] for t in out], np.int32), sizes)),
+                     pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])),
+                     pa.array(np.concatenate([t[3] for t in out]))],
+                    names=["token", "c", "n", "pos", "common"])
+
+    def sliced(batches):
+        for batch in batches:
+            _, offsets = text_buffer(batch.column(text_col))
+            for a, b in groups_of_rows(offsets, SLICE_BYTES):
+                yield batch.slice(a, b - a)
+
+    return stored(keyed.select(ROW_KEY, text_col).mapInArrow(
+        run, "token long, c long, n int, pos int, common boolean"), "jaccard-prefixes")
+
+
+_MARKED = "token long, c long, n int, pos int, often boolean"
 
-    return stored(keyed.select(ROW_KEY, text_col).mapInArrow(run, "token long, c long, n int, pos int"), "jaccard-prefixes")
+
+def _shared_tokens(prefixes: DataFrame) -> DataFrame:
+    """(token, c, n, pos, often) of tokens that two classes have; ``often``: more than FREQUENT have it.
+
+    The tokens of the common list, few by its bound, are counted with combining in each task and never
+    meet in one.  All others are placed by token once: a task reads them in order, drops lonely tokens and
+    repeated rows, and holds FREQUENT + 1 rows of a token at most.
+    """
+    def run(batches):
+        held, token, last, often = [], None, None, False  # rows of the token at hand, while it may be lonely or rare
+
+        def rows(values, flag):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in values], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                + [pa.array([flag] * len(values), pa.bool_())], names=["token", "c", "n", "pos", "often"])
+
+        for batch in batches:
+            at = batch.column("token").to_numpy()
+            if not len(at):
+                continue
+            # Only rows of tokens that stand more than once, or at the edge of the batch, are looked at singly.
+            same = at[1:] == at[:-1]
+            many = np.zeros(len(at), bool)
+            many[1:] |= same
+            many[:-1] |= same
+            many[0] = many[-1] = True
+            part = batch.filter(pa.array(many))
+            out_rare, out_often = [], []
+            for row in zip(*(part.column(i).to_pylist() for i in range(4))):
+                if row[0] != token:
+                    if len(held) > 1 and not often:
+                        out_rare += held
+                    held, token, last, often = [], row[0], None, False
+                if row[1] == last:
+                    continue
+                last = row[1]
+                if often:
+                    out_often.append(row)
+                    continue
+                held.append(row)
+                if len(held) > FREQUENT:
+                    often = True
+                    out_often += held
+                    held = []
+            if out_rare:
+                yield rows(out_rare, False)
+            if out_often:
+                yield rows(out_often, True)
+        if len(held) > 1 and not often:
+            yield rows(held, False)
+
+    columns = ["token", "c", "n", "pos"]
+    rest = (prefixes.filter("NOT common").select(*columns).repartition("token").sortWithinPartitions("token", "c")
+            .mapInArrow(run, _MARKED))
+    common = prefixes.filter("common").select(*columns)
+    counts = common.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("m"))
+    counts = counts.filter("a <> b").select("token", (F.col("m") > FREQUENT).alias("often"))
+    common = common.join(F.broadcast(counts), "token")  # ORDERED_TOKENS rows at most
+    return stored(rest.unionByName(common.dropDuplicates(["token", "c"]).select(*columns, "often")), "jaccard-marked")
 
 
 def _keys(prefixes: DataFrame, percent: int) -> DataFrame:
     """(key, c, n, pos, slack): what classes meet under.  ``slack`` is 1 where a shared token may stand
     before the key's place."""
-    twice = stored(prefixes.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"))
-                   .filter("a <> b").select("token"), "jaccard-tokens")
-    rows = stored(prefixes.join(twice, "token", "left_semi").dropDuplicates(["token", "c"]), "jaccard-rows")
-    often = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > FREQUENT)
-                   .select("token", F.lit(True).alias("often")), "jaccard-frequent")
-    rows = stored(rows.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(False))), "jaccard-marked")
+    rows = _shared_tokens(prefixes)
     single = rows.filter(~F.col("often") | (F.col("n") * 100 >= COMBINED_SIZE * percent)).select(
         F.xxhash64("token").alias("key"), "c", "n", "pos", F.lit(1).alias("slack"))
     lists = (rows.filter(F.col("often") & (F.col("n") <= COMBINED_SIZE)).groupBy("c", "n")

@@ -46,7 +46,7 @@ def _segments(unit: Unit):
             if hot:
                 data = np.frombuffer(body, np.uint8)
                 hashes = Words(data, np.array([0, len(data)]), "visible", lower=False).hash
-                blocks = hot_blocks(hashes, hi - lo + 1, unit, lambda i, j: b" ".join(words[lo + i: lo + j + window]))
+                blocks = hot_blocks(hashes, hi - lo + 1, unit, lambda i, j: b" ".join(words[lo + i: lo + j]))
             out.append({"key": key, "lo": lo, "hi": hi, "hot": hot, "body": None if hot else body, "blocks": blocks})
         return out
 

@@ -154,29 +154,55 @@ def runs_of(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 Finish = Callable[[bytes, list[tuple[int, int]]], tuple]
 
-_BLOCK = "struct<at:int,size:int,name:binary,names:array<binary>>"
+#: Successive windows of a hot key that are named together; they are halved down to single ones.
+BLOCK = 8
+
+
+def _block_types(size: int) -> tuple[str, pa.DataType]:
+    """A block and its halves, down to single windows: at, size, core, name, parts."""
+    text, fields = "at:int,size:int,core:binary,name:binary", [
+        ("at", pa.int32()), ("size", pa.int32()), ("core", pa.binary()), ("name", pa.binary())]
+    if size > 1:
+        inner, kind = _block_types(size // 2)
+        text, fields = f"{text},parts:array<{inner}>", [*fields, ("parts", pa.list_(kind))]
+    return f"struct<{text}>", pa.struct(fields)
+
+
+_BLOCK, _BLOCK_TYPE = _block_types(BLOCK)
 _SEGMENTS = f"segments array<struct<key:long,lo:int,hi:int,hot:boolean,body:binary,blocks:array<{_BLOCK}>>>"
 _SEGMENT_TYPE = pa.list_(pa.struct([
     ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("hot", pa.bool_()), ("body", pa.binary()),
-    ("blocks", pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("name", pa.binary()),
-                                   ("names", pa.list_(pa.binary()))])))]))
-#: Successive windows of a hot key that are named together.
-BLOCK = 8
+    ("blocks", pa.list_(_BLOCK_TYPE))]))
 
 
 def hot_blocks(values: np.ndarray, count: int, unit: Unit, text) -> list[dict]:
     """The ``count`` windows of a hot interval in blocks that are aligned to its anchor, so that equal windows
-    stand at equal places of their blocks; ``text(i, j)`` is what the windows i to j span."""
+    stand at equal places of their blocks; ``text(i, j)`` are the units from i to j.
+
+    A block's *core* is the text that every window of its frame holds, from the frame's last start to its
+    first end: windows that are equal stand in blocks with equal cores.
+    """
     sums = running(values)
     at = np.arange(unit.near)
     anchor = int(smallest_in_window(span(sums, at, at + unit.gram), unit.near)[0])
-    name = lambda i, j: hashlib.blake2b(text(i, j), digest_size=16).digest()
-    out, i = [], 0
-    while i < count:
-        j = min(count - 1, i + (anchor - i) % BLOCK)
-        out.append({"at": i, "size": j - i + 1, "name": name(i, j) + bytes([j - i]), "names": [name(x, x) for x in range(i, j + 1)]})
-        i = j + 1
-    return out
+    digest = lambda i, j, tail: hashlib.blake2b(text(i, j), digest_size=16).digest() + bytes(tail)
+
+    def block(first: int, last: int) -> dict:
+        """The frame of starts [first, last], of which the interval may lack some at its ends."""
+        i, j = max(first, 0), min(last, count - 1)
+        size = last - first + 1
+        place = (anchor - last) % BLOCK
+        name = digest(i, j + unit.window, (size, i - first, last - j, place))
+        core = digest(last, first + unit.window, (size, place)) if size > 1 else name
+        out = {"at": i, "size": j - i + 1, "core": core, "name": name}
+        if size > 1:
+            middle = first + size // 2
+            halves = ((first, middle - 1), (middle, last))
+            out["parts"] = [block(a, b) for a, b in halves if b >= 0 and a < count]
+        return out
+
+    last = anchor % BLOCK
+    return [block(end - BLOCK + 1, end) for end in range(last, count + BLOCK - 1, BLOCK)]
 
 
 def first_look(keyed: DataFrame, marks: DataFrame, text_col: str, unit: Unit, finish: Finish, schema: str,
@@ -220,26 +246,34 @@ def first_look(keyed: DataFrame, marks: DataFrame, text_col: str, unit: Unit, fi
 def hot_windows(segments: DataFrame, first_stays: bool) -> DataFrame:
     """Runs of windows of hot keys that go, as (_k, lo, hi).
 
-    Whole blocks are compared first; only blocks without an equal, and one of each kind of equal ones, are
-    then compared window by window.  Equal names are combined in each task before they meet, and the table
-    of those that occur twice is stored before it is joined, so Spark can split a hot name.
+    Blocks whose core occurs once hold no window that recurs and are dropped.  Of the others whole blocks are
+    compared; those without an equal, and one of each kind of equal ones, are halved and looked at in the
+    same way, down to single windows.  So no row is made for a window whose surroundings are unique.  Equal
+    names are combined in each task before they meet, and the tables of those that occur twice are stored
+    before they are joined, so Spark can split a hot name.
     """
-    def twice(rows: DataFrame, what: str) -> DataFrame:
-        return stored(rows.groupBy("name").agg(
+    def twice(rows: DataFrame, column: str, what: str) -> DataFrame:
+        return stored(rows.groupBy(column).agg(
             F.count(F.lit(1)).alias("n"), F.min(place(ROW_KEY, "lo")).alias("first")).filter("n > 1").drop("n"), what)
 
-    blocks = segments.filter("s.hot").select(ROW_KEY, F.col("s.lo").alias("base"), F.explode("s.blocks").alias("b")).select(
-        ROW_KEY, (F.col("base") + F.col("b.at")).alias("lo"), (F.col("base") + F.col("b.at") + F.col("b.size") - 1).alias("hi"),
-        F.col("b.name").alias("name"), F.col("b.names").alias("names"))
-    blocks = stored(blocks.join(twice(blocks, "hot-blocks"), "name", "left"), "hot-blocks-met")
     own = F.col("first") == place(ROW_KEY, "lo")
-    gone = blocks.filter(F.col("first").isNotNull() & (~own if first_stays else F.lit(True)))
-    single = blocks.filter(F.col("first").isNull() | own).select(ROW_KEY, "lo", F.posexplode("names").alias("at", "name"))
-    single = single.select(ROW_KEY, (F.col("lo") + F.col("at")).alias("lo"), "name")
-    found = single.join(twice(single, "hot-windows"), "name")
-    if first_stays:
-        found = found.filter(~own)
-    return gone.select(ROW_KEY, "lo", "hi").unionByName(found.select(ROW_KEY, "lo", F.col("lo").alias("hi")))
+    rows = segments.filter("s.hot").select(ROW_KEY, F.col("s.lo").alias("base"), F.explode("s.blocks").alias("b"))
+    gone, size = None, BLOCK
+    while True:
+        parts = ["b.parts"] if size > 1 else []
+        rows = rows.select(ROW_KEY, "base", (F.col("base") + F.col("b.at")).alias("lo"),
+                           (F.col("base") + F.col("b.at") + F.col("b.size") - 1).alias("hi"), "b.core", "b.name", *parts)
+        if size > 1:
+            rows = stored(rows.join(twice(rows, "core", "hot-cores").drop("first"), "core", "left_semi"), "hot-blocks")
+        rows = rows.join(twice(rows, "name", "hot-names"), "name", "left" if size > 1 else "inner")
+        if size > 1:
+            rows = stored(rows, "hot-blocks-met")
+        found = rows.filter(F.col("first").isNotNull() & (~own if first_stays else F.lit(True))).select(ROW_KEY, "lo", "hi")
+        gone = found if gone is None else gone.unionByName(found)
+        if size == 1:
+            return gone
+        rows = rows.filter(F.col("first").isNull() | own).select(ROW_KEY, "base", F.explode("parts").alias("b"))
+        size //= 2
 
 
 def resolved(looked: DataFrame, compare, first_stays: bool) -> DataFrame:

@@ -44,7 +44,7 @@ def _segments(unit: Unit):
         for key, lo, hi, hot in zip(keys, lows, highs, hots):
             body = raw[lo: hi + window]
             blocks = hot_blocks(BYTE_VALUES[np.frombuffer(body, np.uint8)], hi - lo + 1, unit,
-                                lambda i, j: body[i: j + window]) if hot else None
+                                lambda i, j: body[i: j]) if hot else None
             out.append({"key": key, "lo": lo, "hi": hi, "hot": hot, "body": None if hot else body, "blocks": blocks})
         return out
 
