@@ -30,7 +30,7 @@ COMBINED_SIZE = 200
 ORDERED_TOKENS = 100_000
 #: Bytes of text whose tokens a task counts at once.
 SLICE_BYTES = 1 << 22
-#: 64-bit words of a set's parity sketch.
+#: 64-bit words of a set's parity sketch at least; a power of two.
 SKETCH_WORDS = 16
 #: Rows of (class, document) that are sent to all tasks at most.
 BROADCAST_ROWS = 500_000
@@ -65,10 +65,12 @@ def _class(tokens: np.ndarray) -> int:
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens that fall on each bit.  Two sets differ in at least as many tokens as
-    their sketches differ in bits, so a pair whose sketches are too far apart cannot be similar."""
-    bits = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parity of the number of tokens that fall on each bit, a bit or more for each token.  Two sets differ in
+    at least as many tokens as their sketches differ in bits, so a pair whose sketches are too far apart
+    cannot be similar."""
+    bits = 64 * max(SKETCH_WORDS, 1 << max(0, (len(tokens) // 64 - 1)).bit_length())
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _described(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -264,7 +266,15 @@ def _wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _near(na, nb, sa, sb, percent: int):
-    """Sizes and sketches allow the two sets to be similar; true of every similar pair."""
+    """Sizes and sketches allow the two sets to be similar; true of every similar pair.
+
+    Folding a sketch in the middle gives that of half the length.  Where one is longer still, sizes differ too
+    much already.
+    """
+    width = F.least(F.size(sa), F.size(sb))
+    fold = lambda s: F.when(F.size(s) == width, s).otherwise(F.zip_with(
+        F.slice(s, 1, width), F.slice(s, width + 1, width), lambda x, y: x.bitwiseXOR(y)))
+    sa, sb = fold(sa), fold(sb)
     apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return (na + nb - apart) * (100 + percent) >= 2 * percent * (na + nb)
 
