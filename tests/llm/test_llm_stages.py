@@ -54,10 +54,13 @@ def near_corpus():
 def test_near_copies_equal_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rows = near_corpus()
-    # all tokens of the pair are frequent, the sizes stand on both sides of COMBINED_SIZE
+    # all tokens of the pair are frequent, the sizes stand on both sides of the largest combined one
     rng = random.Random(7)
     base = ["x%d" % rng.randrange(10 ** 6) for _ in range(176)]
     rows += [(1000, " ".join(base)), (1001, " ".join(base + ["y%d" % i for i in range(40)]))]
+    edge = jaccard.combined_size(80)
+    for at, size in enumerate((edge, edge + 4, edge + 8, edge + 10)):  # shingles are four fewer than words
+        rows += [(1002 + at, " ".join("z%d" % i for i in range(size)))]
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()}
     assert kept == near_kept(rows)
     assert kept != near_kept(rows, 3, 90) and 1001 not in kept

@@ -22,9 +22,10 @@ from themescope.llm.hashing import Words, mix, running, second, span
 SHINGLE_WORDS, PERCENT = 3, 90
 #: A token in the prefixes of more classes than this is frequent; so is a bucket with more members large.
 FREQUENT = 16
-#: Sets up to this size use combinations of frequent tokens; from ``percent`` of it on, single ones as well, so
-#: two sets that can be similar always have one kind of key in common.
-COMBINED_SIZE = 200
+#: Sets with a prefix of up to so many tokens use combinations of frequent ones, at most 66 rows a set; from
+#: ``percent`` of that size on, single ones as well, so two sets that can be similar always have one kind of key
+#: in common.
+COMBINED_PREFIX = 12
 #: Tokens that are common in a task's batch go to the end of the order; so many of them are sent to all
 #: tasks at most.  The order decides what is cheap, never what is found.
 ORDERED_TOKENS = 100_000
@@ -123,7 +124,7 @@ def _prefixes(keyed: DataFrame, text_col: str, n: int, percent: int, common) ->
                 if len(late):
                     at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
                     rank = np.where(late[at] == tokens, weight[at], 0)
-                length = min(size, size - (percent * size + 99) // 100 + 2)
+                length = _prefix(size, percent)
                 chosen = np.lexsort((tokens, rank))[:length]
                 out.append((tokens[chosen], name, size, rank[chosen] > 0))
             if out:
@@ -209,21 +210,35 @@ def _shared_tokens(prefixes: DataFrame) -> DataFrame:
     return stored(rest.unionByName(common.dropDuplicates(["token", "c"]).select(*columns, "often")), "jaccard-marked")
 
 
+def _prefix(size: int, percent: int) -> int:
+    """Length of the extended prefix of a set."""
+    return min(size, size - (percent * size + 99) // 100 + 2)
+
+
+def combined_size(percent: int) -> int:
+    """The largest size up to which all prefixes hold COMBINED_PREFIX tokens at most."""
+    size = 1
+    while _prefix(size + 1, percent) <= COMBINED_PREFIX:
+        size += 1
+    return size
+
+
 def _keys(prefixes: DataFrame, percent: int) -> DataFrame:
     """(key, c, n, pos, slack): what classes meet under.  ``slack`` is 1 where a shared token may stand
     before the key's place."""
+    combined = combined_size(percent)
     rows = _shared_tokens(prefixes)
-    single = rows.filter(~F.col("often") | (F.col("n") * 100 >= COMBINED_SIZE * percent)).select(
+    single = rows.filter(~F.col("often") | (F.col("n") * 100 >= combined * percent)).select(
         F.xxhash64("token").alias("key"), "c", "n", "pos", F.lit(1).alias("slack"))
-    lists = (rows.filter(F.col("often") & (F.col("n") <= COMBINED_SIZE)).groupBy("c", "n")
+    lists = (rows.filter(F.col("often") & (F.col("n") <= combined)).groupBy("c", "n")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t")))  # at most a prefix
     pairs = F.flatten(F.transform("t", lambda x, i: F.transform(
         F.slice("t", i + 2, F.size("t")), lambda y: F.struct(
             F.xxhash64(F.least(x["token"], y["token"]), F.greatest(x["token"], y["token"]), F.lit(2)).alias("key"),
             x["pos"].alias("pos")))))
-    combined = lists.select("c", "n", F.explode(pairs).alias("p")).select("p.key", "c", "n", F.col("p.pos").alias("pos"),
+    both = lists.select("c", "n", F.explode(pairs).alias("p")).select("p.key", "c", "n", F.col("p.pos").alias("pos"),
                                                                         F.lit(0).alias("slack"))
-    keys = single.unionByName(combined)
+    keys = single.unionByName(both)
     sizes = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(_rank()).alias("best"))
                    .filter("m > 1"), "jaccard-buckets")
     return stored(keys.join(sizes, "key"), "jaccard-keys")
