@@ -127,3 +127,20 @@ def test_sweep(spark, small):
     table = sweep_k(vectors, "label", [2, 4, 100_000], starts=1, max_iter=5).orderBy("k").collect()
     assert [r.k for r in table] == [2, 4]
     assert table[1].inertia < table[0].inertia
+
+
+def test_stable_labels_on_any_partitions(spark, embeddings):
+    from themescope.operators.stable_clusters import stable_kmeans
+
+    unit = embeddings.select("vec_id", "features")
+    runs = []
+    for parts in (1, 4, 7):
+        labels, cost = stable_kmeans(unit.repartition(parts), "vec_id", 6, starts=3, max_iter=15)
+        runs.append((cost, {r.vec_id: r.cluster_id for r in labels.collect()}))
+    assert runs[0] == runs[1] == runs[2]
+    cost, labels = runs[0]
+    assert set(labels.values()) <= set(range(6)) and len(labels) == unit.count()
+    model = cl.best_kmeans(unit, 6, starts=3, max_iter=15)
+    assert cost <= 1.1 * model.summary.trainingCost
+    with pytest.raises(ValueError):
+        stable_kmeans(unit.limit(5), "vec_id", 6)

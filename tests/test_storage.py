@@ -121,3 +121,35 @@ def test_stream_resumes(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == folder or folder is None
+
+
+def test_upload_ids_follow_files(spark, tmp_path):
+    """Two files of unlike size, the larger one first by name or last."""
+    for sizes in ((1500, 40), (40, 1500)):
+        base = tmp_path / f"up{sizes[0]}"
+        names = []
+        for part, rows in enumerate(sizes):
+            names += [f"{part}-{i}" for i in range(rows)]
+            spark.range(rows).selectExpr(f"concat('{part}-', id) AS narrative").coalesce(1).write.parquet(f"{base}/part={part}")
+        table = spark.read.parquet(str(base)).select("narrative")
+        got = {r.complaint_id: r.narrative for r in readers.read_upload(table).collect()}
+        assert [got[i] for i in range(len(names))] == names
+        some = table.filter("narrative NOT LIKE '%7'")
+        left = [n for n in names if not n.endswith("7")]
+        got = {r.complaint_id: r.narrative for r in readers.read_upload(some).collect()}
+        assert [got[i] for i in range(len(left))] == left
+    made = spark.createDataFrame([("a",), ("b",)], "narrative string")
+    assert sorted(r.complaint_id for r in readers.read_upload(made).collect()) == [0, 1]
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path, plan):
+    from themescope.operators.joins import with_truth
+
+    left = writers.write_bucketed(spark.range(500).selectExpr("id AS complaint_id", "id % 7 AS cluster_id"), str(tmp_path / "l"), "complaint_id", 4)
+    right = writers.write_bucketed(spark.range(0, 900, 2).selectExpr("id AS complaint_id", "id % 3 AS Issue"), str(tmp_path / "r"), "complaint_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = with_truth(left, right, "Issue")
+        assert "Exchange" not in plan(joined) and joined.count() == 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -9,7 +9,9 @@ from themescope.catalog import stand_ins as si
 from themescope.catalog.registry import query, table
 from themescope.operators import aggregates as agg, contingency as ct, joins
 from themescope.operators.k_selection import choose_k, elbow
-from themescope.plans.evaluate import evaluate_cells
+from themescope.plans.evaluate import Evaluation, evaluate_cells, evaluate_clusters, sweep_from_store
+from themescope.session import scratch_path
+from themescope.sources.writers import write_bucketed
 
 _JUDGED_CELLS = f"""{si.JUDGED}, cells AS (
   SELECT truth, cluster_id AS cluster, count(*) AS n FROM judged
@@ -128,6 +130,61 @@ def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate_cells(cells).summary
 
 
+# Documents clustered by source, against what is known about them in another table.
+_LABEL_CELLS = """cells AS (SELECT 'q' || quality || 't' || toxic AS truth, source AS cluster, count(*) AS n
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _labelled_tables(spark: SparkSession, folder: str) -> Evaluation:
+    """Both tables stored in buckets of the id, so their join moves nothing."""
+    clusters = table(spark, folder, "documents").select(F.col("doc_id").alias("complaint_id"), F.col("source").alias("cluster_id"))
+    truth = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("complaint_id"),
+        F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("Issue"))
+    stored = [write_bucketed(t, scratch_path(spark, "bucketed"), "complaint_id", 8) for t in (clusters, truth)]
+    return evaluate_clusters(*stored)
+
+
+@query("evaluation_of_tables", f"""WITH {_LABEL_CELLS}, {_COVERAGE}, {_SUPPORTED}, {_agreement('scored')}, {_profile('scored')}
+SELECT coverage.*, n_rows_scored >= {fv.RELIABLE_ROWS} AS reliable, clusters,
+       round(ari, 4) AS ari, round(nmi, 4) AS nmi,
+       (SELECT round(avg(purity), 4) FROM profile) AS mean_purity,
+       (SELECT round(sum(purity * size) / sum(size), 4) FROM profile) AS weighted_purity
+FROM coverage, agreement""")
+def evaluation_of_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled_tables(spark, folder).summary
+
+
+@query("breakdown_of_tables", f"""WITH {_LABEL_CELLS}, {_SUPPORTED}, {_profile('scored')}
+SELECT *, purity AS dominant_category_share FROM profile""")
+def breakdown_of_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled_tables(spark, folder).breakdown
+
+
+@query("junk_of_tables", f"""WITH {_LABEL_CELLS}, {_SUPPORTED}, {_profile('scored')}
+SELECT *, purity AS dominant_category_share FROM profile
+WHERE distinct_true_categories >= (
+  SELECT greatest({fv.JUNK_MIN_CATEGORIES}, round_even(2.0 * count(DISTINCT truth) / count(DISTINCT cluster), 0)) FROM scored)
+  AND purity < {fv.JUNK_MAX_PURITY}""")
+def junk_of_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled_tables(spark, folder).junk
+
+
+@query("sweep_from_store", f"""WITH sizes AS (SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+SELECT k, CAST(coalesce(sum(n) FILTER (n >= {fv.MIN_CATEGORY_SUPPORT}), 0) AS BIGINT) AS n_rows_scored,
+       CAST(coalesce(sum(n) FILTER (n < {fv.MIN_CATEGORY_SUPPORT}), 0) AS BIGINT) AS n_rows_excluded,
+       count(*) FILTER (n >= {fv.MIN_CATEGORY_SUPPORT}) AS n_categories_scored, true AS sane
+FROM sizes, (SELECT unnest([6, 10])::INTEGER AS k) GROUP BY k""")
+def sweep_of_stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "complaint_id")
+    features = vectors.select("complaint_id", F.lit("m").alias("model"), F.lit("h").alias("text_hash"), "embedding")
+    truth = vectors.select("complaint_id", F.col("label").cast("string").alias("product"))
+    scores, coverage = sweep_from_store(features, truth, [6, 10], "product", "m", starts=2, max_iter=10)
+    sane = F.col("ari").between(-1, 1) & F.col("nmi").between(0, 1) & F.col("silhouette").between(-1, 1) & (F.col("inertia") > 0)
+    found = coverage.select("n_rows_scored", "n_rows_excluded", "n_categories_scored").first().asDict()
+    return scores.select("k", sane.alias("sane"), *[F.lit(v).alias(c) for c, v in found.items()])
+
+
 @query("truth_join", """SELECT d.doc_id AS complaint_id, d.source AS cluster_id, l.quality AS label
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def truth_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -194,6 +194,23 @@ def full_run(spark: SparkSession, folder: str) -> DataFrame:
     return ledger_table(spark, run_all(docs, options).ledger)
 
 
+_FIXED_MEASURES = ["rows_in", "rows_out", "resumed_from", "newly_processed", "failed", "total_topics", "complaints",
+                   "clusters", "unique_topics", "output_rows", "input_rows"]
+
+
+@query("full_run_ledger", f"""WITH {_PHRASES}, k AS (SELECT * FROM phrases WHERE rank <= {fv.MAX_TOPICS_PER_ROW}),
+n AS (SELECT (SELECT count(*) FROM documents) AS docs, count(DISTINCT doc_id) AS found, count(*) AS topics,
+             count(DISTINCT phrase) AS kinds FROM k)
+SELECT unnest(['extract_topics', 'extract_topics', 'extract_topics', 'extract_topics', 'extract_topics', 'extract_topics',
+               'cluster_topics', 'cluster_topics', 'cluster_topics', 'label_clusters', 'generate_insights']) AS step,
+       unnest({_FIXED_MEASURES}) AS measure,
+       CAST(unnest([docs, found, 0, found, docs - found, topics, found, {fv.N_CLUSTERS}, kinds, found, found]) AS VARCHAR) AS value
+FROM n""")
+def full_run_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures of a whole run that do not depend on fitted clusters."""
+    return full_run(spark, folder).filter(F.col("measure").isin(_FIXED_MEASURES))
+
+
 def _first_and_last_word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A stand-in for a model: the first and the last word of a text are its topics; it costs a token a word."""
     for batch in batches:

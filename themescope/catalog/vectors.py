@@ -11,6 +11,7 @@ from themescope.functions.vectors import normalise_vectors, with_unit_features
 from themescope.operators import clustering as cl
 from themescope.operators.embedding import hashed_tfidf
 from themescope.operators.k_selection import sweep_k
+from themescope.operators.stable_clusters import stable_kmeans
 
 _DIM = "list_transform(embedding, lambda x: x::DOUBLE)"
 _UNIT = f"""u AS (SELECT vec_id, label, {_DIM} AS v, sqrt(list_dot_product({_DIM}, {_DIM})) AS norm FROM embeddings),
@@ -97,6 +98,26 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cl.kmeans_labels(_unit(spark, folder), 12, max_iter=20).select("vec_id", "cluster_id")
 
 
+@query("stable_clusters", "SELECT vec_id, true AS in_range, true AS cost_is_inertia, true AS cheaper_than_one FROM embeddings")
+def stable_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids, range and cost of k-means: the cost is the inertia of the labels, and below that of one cluster."""
+    unit = _unit(spark, folder)
+    labels, cost = stable_kmeans(unit, "vec_id", 12, starts=4, max_iter=20)
+    labelled = unit.drop("label").join(labels, "vec_id")
+    inertia = cl.inertia(labelled, "cluster_id").agg(F.sum("inertia")).first()[0]
+    whole = cl.inertia(unit.withColumn("one", F.lit(0)), "one").first().inertia
+    return labels.select(
+        "vec_id", F.col("cluster_id").between(0, 11).alias("in_range"),
+        F.lit(abs(inertia - cost) < 1e-3 * whole).alias("cost_is_inertia"), F.lit(cost < whole).alias("cheaper_than_one"))
+
+
+@query("hashed_vector_norms", "SELECT doc_id, CAST(256 AS INTEGER) AS dimensions, CASE WHEN regexp_matches(text, '[A-Za-z0-9_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
+def hashed_vector_norms(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = hashed_tfidf(texts(spark, folder), "text")
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return vectors.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(squares), 4).alias("norm"))
+
+
 @query("k_sweep")
 def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return sweep_k(_embeddings(spark, folder), "label", [6, 10, 14], starts=2, max_iter=20)

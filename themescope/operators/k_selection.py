@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from themescope import fixed_values as fv
 from themescope.functions.numbers import round_even
 from themescope.functions.vectors import with_unit_features
 from themescope.operators.clustering import best_kmeans, mean_silhouette
-from themescope.operators.contingency import agreement, contingency, supported
+from themescope.operators.contingency import agreement, supported
 from themescope.operators.guards import usable_ks
 from themescope.schemas import K_SWEEP
+from themescope.session import scratch_path
 
 
 def sweep_k(
@@ -27,12 +29,13 @@ def sweep_k(
     unit = with_unit_features(vectors.select(vector, truth), vector).select("features", truth)
     unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        models = {k: best_kmeans(unit, k, starts=starts, seed=seed, max_iter=max_iter)
+                  for k in usable_ks(ks, unit.count())}
+        cells = cells_by_k(unit, truth, models)
         rows = []
-        for k in usable_ks(ks, unit.count()):
-            model = best_kmeans(unit, k, starts=starts, seed=seed, max_iter=max_iter)
-            labelled = model.transform(unit)
-            score = agreement(supported(contingency(labelled, truth, "cluster_id"), minimum)).first()
-            silhouette = mean_silhouette(labelled) if k > 1 else None
+        for k, model in models.items():
+            score = agreement(supported(cells.filter(F.col("k") == k).drop("k"), minimum)).first()
+            silhouette = mean_silhouette(model.transform(unit)) if k > 1 else None
             rows.append((k, silhouette, score.ari, score.nmi, float(model.summary.trainingCost)))
     finally:
         unit.unpersist()
@@ -43,6 +46,21 @@ def sweep_k(
     )
 
 
+def cells_by_k(unit: DataFrame, truth: str, models: dict[int, KMeansModel]) -> DataFrame:
+    """Rows per k, true category and cluster, stored: one scan assigns each row under all models."""
+    assigned = unit.filter(F.col(truth).isNotNull())
+    for k, model in models.items():
+        assigned = model.copy().setPredictionCol(f"_c{k}").transform(assigned)
+    found = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("cluster")) for k in models])
+    counted = (
+        assigned.select(F.col(truth).alias("truth"), F.explode(found).alias("_a"))
+        .groupBy("_a.k", "truth", "_a.cluster").agg(F.count(F.lit(1)).alias("n"))
+    )
+    path = scratch_path(unit.sparkSession, "cells-by-k")
+    counted.write.parquet(path)
+    return unit.sparkSession.read.schema(counted.schema).parquet(path)
+
+
 def elbow(sweep: DataFrame, k: str = "k", value: str = "inertia") -> DataFrame:
     """Distance of every k from the chord between the curve's end points, both axes scaled to
     [0, 1].  NULL where an axis has no extent.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from themescope import fixed_values as fv
@@ -33,9 +34,28 @@ def dense_index(df: DataFrame, name: str, order: list[str] | None = None) -> Dat
     )
 
 
+def stored_index(df: DataFrame, name: str) -> DataFrame:
+    """Number rows 0..n-1 in the order of their files' paths and their places in them.
+
+    Parquet files know the place of each row, so only a table of one offset per file is made and nothing is
+    sorted, moved or written.  A table that leaves out rows of its files is numbered by a sort of that place;
+    one that does not come from Parquet files in the order of its partitions.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return dense_index(df, name)
+    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), (F.max("_at") + 1).alias("_rows"))
+    if files.filter("_n <> _rows").take(1):
+        return dense_index(placed, name, ["_file", "_at"]).drop("_file", "_at")
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file")) - F.col("_n")
+    offsets = small_side(files.select("_file", before.alias("_before")))
+    return placed.join(offsets, "_file").select((F.col("_before") + F.col("_at")).alias(name), *df.columns)
+
+
 def ensure_id(df: DataFrame, key: str = "complaint_id") -> DataFrame:
     """The table itself if it has a key, else with one made up: 0..n-1 in stored order."""
-    return df if key in df.columns else dense_index(df, key)
+    return df if key in df.columns else stored_index(df, key)
 
 
 def with_chunks(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from themescope.operators.joins import not_done
@@ -29,6 +31,16 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return append_run(df if stored is None else not_done(df, stored, keys), path)
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a table in buckets of its key, each in key order, and read it back.
+
+    Tables with the same number of buckets are joined and grouped by that key without a shuffle, each time.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """The table as CSV with a header; lists become text.  One file only on request."""
     lists = {
