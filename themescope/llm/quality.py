@@ -1,10 +1,11 @@
 """Quality classification by co-training.
 
 Two views of a document, its text and its page metadata, each get a classifier of their own.  In each
-round both label the unlabelled part of a bounded sample, and each takes over what the *other* is
-confident about; a view may speak only where its calibrated probability is beyond the confidence
-threshold.  At the end both are calibrated and combined on labelled rows that took no part, and all
-documents are scored in one narrow pass.
+round both label the unlabelled part of a bounded sample, and each is told what the *other* is surest
+about: the first rows of each class by calibrated probability, more of them from round to round.  A told
+label counts by its evidence, the way the teacher's probability has moved from the share of the class, and by
+the teacher's skill on held-back rows, so a view that knows nothing misleads little.  At the end both are calibrated and combined on labelled rows that
+took no part, and all documents are scored in one narrow pass.
 """
 
 from __future__ import annotations
@@ -24,23 +25,36 @@ from themescope.llm.logistic import Logistic, fit_logistic
 #: Rows of each kind (labelled good, labelled bad, unlabelled) that training looks at, at most; in order of
 #: the hash of their id.
 SAMPLE_ROWS = 6_000
-ROUNDS, CONFIDENCE = 4, 0.97
+ROUNDS = 4
+#: A told label weighs at most this much of a given one.
+TOLD_WEIGHT = 0.5
 #: A document whose score is below this is rejected.
 THRESHOLD = 0.5
 _SLOTS = 16
 
 
+class Exchange(NamedTuple):
+    """What one view told the other in a round: labels of each class and the weight they had in sum."""
+
+    turn: int
+    teacher: str
+    good: int
+    bad: int
+    weight: float
+
+
 class Model(NamedTuple):
-    """Classifiers of both views with their calibration, and the curve that combines them."""
+    """Classifiers of both views with their calibration, the curve that combines them, and the exchange."""
 
     text: Logistic
     text_curve: Logistic
     meta: Logistic
     meta_curve: Logistic
     both: Logistic
+    exchanges: tuple[Exchange, ...] = ()
 
 
-TEXT_WIDTH, META_WIDTH = 20, 3 + 2 * _SLOTS
+TEXT_WIDTH, META_WIDTH = 20, 3 + 4 * _SLOTS
 
 
 def text_view(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> list[float]:
@@ -67,13 +81,15 @@ def text_view(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
 
 
 def meta_view(lang: str | None, source: str | None, size: int | None) -> list[float]:
-    """Language, source and recorded length of a page, without its text."""
+    """Language, source and recorded length of a page, without its text: each by itself, and the length
+    within its language and within its source."""
     out = [0.0] * META_WIDTH
     out[0] = math.log1p(max(0, size or 0))
     out[1] = out[0] ** 2 / 10
     out[2] = float(size is None)
-    out[3 + zlib.crc32((lang or "").encode("utf-8", "surrogatepass")) % _SLOTS] = 1.0
-    out[3 + _SLOTS + zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % _SLOTS] = 1.0
+    for k, name in enumerate((lang, source)):
+        slot = 3 + 2 * k * _SLOTS + zlib.crc32((name or "").encode("utf-8", "surrogatepass")) % _SLOTS
+        out[slot], out[slot + _SLOTS] = 1.0, out[0]
     return out
 
 
@@ -98,33 +114,62 @@ def _calibrated(classifier: Logistic, curve: Logistic, x: np.ndarray) -> np.ndar
     return curve.probability(classifier.margin(x)[:, None])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS,
-             confidence: float = CONFIDENCE) -> Model:
-    """``label`` is 1, 0 or NaN.  Every third labelled row is kept for calibration."""
+def _skill(margin: np.ndarray, y: np.ndarray) -> float:
+    """How far a view ranks held-back rows better than chance, less one standard error of chance: 0 to 1."""
+    good, bad = margin[y > 0.5], np.sort(margin[y < 0.5])
+    if not len(good) or not len(bad):
+        return 0.0
+    area = (np.searchsorted(bad, good) + np.searchsorted(bad, good, side="right")).mean() / (2 * len(bad))
+    error = math.sqrt((len(y) + 1) / (12 * len(good) * len(bad)))
+    return float(np.clip(2 * (area - 0.5 - error), 0.0, 1.0))
+
+
+def _told(p: np.ndarray, share: float, part: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (NaN: none) and weights for the surest ``part`` of each class; ``share`` is that of the ones.
+
+    A label weighs by how far its probability lies beyond the share of its class, from 0 (as expected of any
+    row) to 1; rows that are no likelier of the class than any other are not told.
+    """
+    order = np.argsort(-p, kind="stable")
+    label, weight = np.full(len(p), np.nan), np.zeros(len(p))
+    for rows, one, base, likely in ((order, 1.0, share, p), (order[::-1], 0.0, 1.0 - share, 1.0 - p)):
+        rows = rows[: max(1, int(len(p) * base * part))]
+        gain = (likely[rows] - base) / max(1e-9, 1.0 - base)
+        label[rows[gain > 0]], weight[rows[gain > 0]] = one, gain[gain > 0]
+    return label, weight
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """``label`` is 1, 0 or NaN.  Every third labelled row is kept for calibration.  Round r of ``rounds`` tells
+    the surest r / rounds of the unlabelled rows of each class, up to half of them; with no rounds each view
+    learns alone."""
     known = np.flatnonzero(~np.isnan(label))
     held, fit, free = known[::3], np.setdiff1d(known, known[::3]), np.flatnonzero(np.isnan(label))
-    extra = [np.full(len(free), np.nan), np.full(len(free), np.nan)]  # what each view has been told
+    share = (float(label[held].sum()) + 0.5) / (len(held) + 1.0)
+    told = [(np.full(len(free), np.nan), np.zeros(len(free)))] * 2  # what each view has been told
+    exchanges: list[Exchange] = []
     for turn in range(rounds + 1):
         views, curves = [], []
-        for x, told in zip((text, meta), extra):
-            more = np.flatnonzero(~np.isnan(told))
+        for x, (other, trust) in zip((text, meta), told):
+            more = np.flatnonzero(~np.isnan(other))
             rows = np.concatenate([x[fit], x[free[more]]])
-            y = np.concatenate([label[fit], told[more]])
-            weight = np.concatenate([np.ones(len(fit)), np.full(len(more), 0.5)])
+            y = np.concatenate([label[fit], other[more]])
+            weight = np.concatenate([np.ones(len(fit)), TOLD_WEIGHT * trust[more]])
             views.append(fit_logistic(rows, y, weight))
             curves.append(_curve(views[-1], x[held], label[held]))
         if turn == rounds or not len(free):
             break
-        for k, x in ((0, text), (1, meta)):
-            p = _calibrated(views[k], curves[k], x[free])
-            quota = max(1, len(free) * (turn + 1) // rounds)  # the most confident first, all in the last round
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:quota]
-            sure = sure[(p[sure] >= confidence) | (p[sure] <= 1 - confidence)]
-            extra[1 - k][:] = np.nan
-            extra[1 - k][sure] = (p[sure] >= 0.5).astype(float)
+        told = []
+        for name, k, x in (("meta", 1, meta), ("text", 0, text)):  # the text view is told by the metadata view
+            other, trust = _told(_calibrated(views[k], curves[k], x[free]), share, (turn + 1) / rounds / 2)
+            trust = trust * _skill(views[k].margin(x[held]), label[held])
+            other = np.where(trust > 0, other, np.nan)
+            told.append((other, trust))
+            exchanges.append(Exchange(turn + 1, name, int((other == 1).sum()), int((other == 0).sum()),
+                                      round(float(trust.sum()), 3)))
     pair = np.column_stack([curves[0].margin(views[0].margin(text[held])[:, None]),
                             curves[1].margin(views[1].margin(meta[held])[:, None])]).reshape(-1, 2)
-    return Model(views[0], curves[0], views[1], curves[1], fit_logistic(pair, label[held]))
+    return Model(views[0], curves[0], views[1], curves[1], fit_logistic(pair, label[held]), tuple(exchanges))
 
 
 def held_out(key):
@@ -133,7 +178,7 @@ def held_out(key):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars",
-                label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+                label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model:
     """A model from at most ``sample_rows`` documents of each kind: good, bad, without label.
 
     Labels whose crc32 of the id as text is divisible by 5 are not used.  Several labels of an id count as
@@ -163,7 +208,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                  key=lambda r: (r["turn"], r["text"]))
     return co_train(np.array([r["text"] for r in got]).reshape(-1, TEXT_WIDTH),
                     np.array([r["meta"] for r in got]).reshape(-1, META_WIDTH),
-                    np.array([np.nan if r["label"] is None else r["label"] for r in got], np.float64))
+                    np.array([np.nan if r["label"] is None else r["label"] for r in got], np.float64), rounds)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
