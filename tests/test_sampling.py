@@ -68,12 +68,18 @@ def test_holdout_is_whole_when_small(spark):
     assert ids(smp.holdout(rows)) == [0, 1, 2, 3, 4]
 
 
-def test_large_small_side_is_not_broadcast(spark):
+@pytest.mark.parametrize("limit, kind", [("10MB", "BroadcastHashJoin"), ("1KB", "SortMergeJoin")])
+def test_small_side_is_broadcast_by_its_bytes(spark, limit, kind):
     from themescope.operators.small import small_side
 
-    rows = spark.range(100)
-    assert small_side(rows, max_rows=99) is rows
-    assert sorted(r.id for r in small_side(rows, max_rows=100).collect()) == list(range(100))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        joined = spark.range(10_000).join(small_side(spark.range(2_000)), "id")
+        assert kind in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 2_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_rows_without_a_key_do_not_shorten_a_sample(spark):

@@ -10,6 +10,7 @@ from themescope import fixed_values as fv
 from themescope.functions.dates import month_of, parse_utc
 from themescope.functions.lists import each_item
 from themescope.operators.small import small_side
+from themescope.session import cut_lineage
 
 
 def frequency(df: DataFrame, key: str, count: str = "n") -> DataFrame:
@@ -159,10 +160,11 @@ def category_profile(
     among rows with text, and median length.
 
     Rows meet their category only as one row per (category, issue, length), so a dominant
-    category is combined before it is shuffled.
+    category is combined before it is shuffled; both uses read those combined rows, the texts
+    are scanned once.
     """
     told = F.col(text).isNotNull()
-    cells = (
+    cells = cut_lineage(
         df.filter(F.col(category).isNotNull())
         .groupBy(category, issue, words)
         .agg(F.count(F.lit(1)).alias("_rows"), F.count_if(told).alias("_told"))

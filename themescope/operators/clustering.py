@@ -50,10 +50,14 @@ def best_kmeans(
 
 
 def kmeans_labels(unit: DataFrame, k: int, **options: int) -> DataFrame:
-    """Add ``cluster_id`` from the best of several starts."""
-    unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
-    need_more_rows_than(unit.count(), k)
-    return best_kmeans(unit, k, **options).transform(unit)
+    """Add ``cluster_id`` from the best of several starts; the vectors are held only while it is fitted."""
+    held = unit.select(FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        need_more_rows_than(held.count(), k)
+        model = best_kmeans(held, k, **options)
+    finally:
+        held.unpersist()
+    return model.transform(unit)
 
 
 def cluster_table(unit: DataFrame, cluster: str) -> DataFrame:

@@ -1,20 +1,17 @@
-"""Broadcast of small tables behind a check of their size."""
+"""Small tables for joins, by their measured size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-MAX_BROADCAST_ROWS = 200_000
+from themescope.session import cut_lineage
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A table of one row per group, ready to be the small side of a join.
+def small_side(df: DataFrame) -> DataFrame:
+    """A table of one row per group, as one side of a join.
 
-    At most ``max_rows + 1`` rows are looked at.  If the table fits it comes back as a local
-    relation with a broadcast hint, so the wide side is not shuffled; if it does not, the
-    table comes back as it was and the join stays a distributed one.
+    It is computed once and written, so Spark plans the join with the bytes it takes: below
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the wide side is not shuffled,
+    above it the join is a distributed one.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+    return cut_lineage(df)

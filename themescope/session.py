@@ -51,10 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written rows.
+    """Write ``df`` once to the shared folder, as Parquet, and go on from the written rows.
 
     Needed where two branches must see the very same rows (generated ids, sampled range
-    bounds), also after an executor is lost.
+    bounds), also after an executor is lost.  Readers prune columns, and Spark knows the size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
