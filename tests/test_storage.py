@@ -153,3 +153,17 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path, plan):
         assert "Exchange" not in plan(joined) and joined.count() == 250
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = spark.range(40)
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "t.parquet"))
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "other.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "t.parquet")
+    for kind in ("one", "many"):
+        sink, progress = str(tmp_path / f"{kind}-sink"), str(tmp_path / f"{kind}-progress")
+        for expected in (40, 0):
+            source = stream_table(spark, str(tmp_path / kind), rows.schema, pattern="t.parquet")
+            assert run_available(source, lambda d: d, sink, progress) == expected
+        assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(40))

@@ -16,13 +16,18 @@ def stream_table(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None,
     pattern: str | None = None,
 ) -> DataFrame:
-    """A folder of Parquet files as a stream."""
+    """A folder of Parquet files as a stream.
+
+    With ``pattern`` only what has such a name in the folder: single files, or tables that are folders of files.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(path)
+    if not pattern:
+        return reader.parquet(path)
+    # Spark takes a path without wildcards for the root of partition folders, which a single file can't be.
+    wild = pattern if set(pattern) & set("*?[{") else f"{pattern[:-1]}[{pattern[-1]}]"
+    return reader.parquet(f"{path}/{wild}")
 
 
 def run_available(source: DataFrame, transform: Transform, sink: str, checkpoint: str) -> int:
