@@ -156,3 +156,31 @@ def test_nothing_to_do(spark, tmp_path):
     none = spark.createDataFrame([], "complaint_id long, narrative string, dataset_id string")
     topics, done = phrase_state.extract_default(none, str(tmp_path), "d")
     assert topics.collect() == [] and done["new"] == 0 and "all_topics_discussed" in topics.columns
+
+
+def test_what_ended_stays_when_the_job_fails(spark, tmp_path):
+    """All batches are tasks of one job, each of which commits for itself."""
+    work, sink, progress = (str(tmp_path / name) for name in ("work", "sink", "progress"))
+    rows = spark.range(430)
+    write_chunks(rows.repartition(3), ["id"], work, 25)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dies", "a run that dies late")
+
+    def dies(batches):
+        for batch in batches:
+            if (batch["id"] >= 300).any():
+                raise RuntimeError("the service is gone")
+            yield batch
+
+    try:
+        with pytest.raises(Exception, match="the service is gone"):
+            run_chunks(spark, work, rows.schema, lambda b: b.mapInPandas(dies, "id long"), sink, progress)
+        assert len(jobs.getJobIdsForGroup("dies")) < 15  # the 12 batches before the failure were one job, not 12 or more
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    held = {r.id for r in spark.read.parquet(sink).collect()}
+    assert set(range(300 - 25)) <= held and max(held) < 325
+    assert run_chunks(spark, work, rows.schema, lambda b: b, sink, progress, 4) == 430 - len(held)
+    stored = spark.read.parquet(sink)
+    assert sorted(r.id for r in stored.collect()) == list(range(430))
+    assert run_chunks(spark, work, rows.schema, lambda b: b, sink, progress, 4) == 0

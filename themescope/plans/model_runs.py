@@ -1,8 +1,8 @@
 """Model runs over an input table that commit as they go and can be continued.
 
-A run is a folder: the rows it has to ask for in chunks, the attempts of each batch of chunks, and the
+A run is a folder: the rows it has to ask for in chunks, the attempts as its tasks stored them, and the
 resolved result.  A table of runs tells which of them were started and which ended.  A caller's process may
-die anywhere: the next call first continues the runs that did not end, from the batch that was in flight.
+die anywhere: the next call first continues the runs that did not end, and only what was in flight is asked again.
 """
 
 from __future__ import annotations
@@ -78,21 +78,19 @@ def finish_run(
 ) -> RunCounts:
     """Ask for all rows of a run that have no stored attempts yet, and add its successes to ``topics``.
 
-    Every step can be repeated: batches replace their folder, the resolved table is replaced, and only rows
-    that ``topics`` lacks are appended.  Counts are taken in the jobs that write.
+    Every step can be repeated: rows with stored attempts are left out, the resolved table is replaced, and only
+    rows that ``topics`` lacks are appended.  Counts are taken in the jobs that write.
     """
     base = f"{folder}/run/{run}"
-    work = read_table(spark, f"{base}/work")
+    work = read_table(spark, f"{base}/work").drop("_row", "_chunk")
 
-    def ask(batch: DataFrame) -> DataFrame:
-        texts = batch.withColumn("narrative", F.coalesce("narrative", F.lit("")))
-        # The rows of a batch are few and the calls slow, so they are dealt to all cores.
-        spread = texts.repartition(spark.sparkContext.defaultParallelism)
-        return run_hook(spread, hook, RESPONSES, ["dataset_id", "complaint_id", "narrative"])
+    def ask(rows: DataFrame) -> DataFrame:
+        texts = rows.withColumn("narrative", F.coalesce("narrative", F.lit("")))
+        return run_hook(texts, hook, RESPONSES, ["dataset_id", "complaint_id", "narrative"])
 
     run_chunks(spark, f"{base}/work", work.schema, ask, f"{base}/attempts", f"{base}/progress", chunks_per_batch)
     ok, counted = F.col("extraction_ok"), Observation(f"run-{run}")
-    answers = att.resolve_attempts(read_table(spark, f"{base}/attempts").drop("batch"))
+    answers = att.resolve_attempts(read_table(spark, f"{base}/attempts").drop("batch", "_first", "_last"))
     # A row the hook said nothing about is a failed one too.
     resolved = write_stage(
         joins.attach_results(work.select(*joins.RUN_KEY), answers, joins.RUN_KEY).observe(
