@@ -127,3 +127,12 @@ def test_key_phrases_of_a_part_equal_those_of_the_whole(spark):
     whole = {tuple(r) for r in ex.key_phrases(rows).filter("complaint_id > 0").collect()}
     part = {tuple(r) for r in ex.key_phrases(rows.filter("complaint_id > 0"), corpus=rows).collect()}
     assert part == whole
+
+
+def test_phrases_move_once_by_phrase_and_once_by_text(spark, rows, plan):
+    text = plan(ex.key_phrases(rows))
+    moves = [line for line in text.splitlines() if line.startswith("Arguments: hashpartitioning(")]
+    assert sum("(phrase#" in m for m in moves) == 1 and sum("(complaint_id#" in m for m in moves) == 1
+    assert "Join" not in text and "/phrases-" not in text  # nothing stored, counts are not moved
+    whole = {tuple(r) for r in ex.key_phrases(rows).collect()}
+    assert whole == {tuple(r) for r in ex.key_phrases(rows, corpus=rows).collect()}

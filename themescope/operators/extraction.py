@@ -76,11 +76,14 @@ def rank_phrases(
     skew handling of AQE.
     """
     documents = F.coalesce("documents", F.lit(1))
-    score = F.col("_tf") * F.ln((rows + 1.0) / (documents + 1.0))
+    return _best_phrases(told.join(counts, "phrase", "left").withColumn("documents", documents), rows, key, top)
+
+
+def _best_phrases(counted: DataFrame, rows: int, key: str, top: int) -> DataFrame:
+    score = F.col("_tf") * F.ln((rows + 1.0) / (F.col("documents") + 1.0))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "phrase"))
     return (
-        told.join(counts, "phrase", "left")
-        .withColumn("score", F.round(score, 6))
+        counted.withColumn("score", F.round(score, 6))
         .withColumn("rank", rank)
         .filter(F.col("rank") <= top)
         .select(key, "phrase", "score", "rank")
@@ -96,10 +99,13 @@ def key_phrases(
     Rows are counted exactly, in ``corpus`` if that is given (it holds the rows of ``df`` and may hold
     more), so a part ranks its phrases as the whole does.
     """
-    told = phrase_counts(df, key, text)
-    counts = rarity(told if corpus is None else phrase_counts(corpus, key, text))
     rows = (df if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
-    return rank_phrases(told, counts, rows, key, top)
+    if corpus is None:
+        # The texts hold all rows of a phrase, so one exchange by phrase both counts and scores them: nothing is
+        # stored and counts are not moved.  A hot phrase is one run of narrow rows, which the window may spill.
+        documents = F.count(F.lit(1)).over(W.partitionBy("phrase"))
+        return _best_phrases(row_phrases(df, key, text).withColumn("documents", documents), rows, key, top)
+    return rank_phrases(phrase_counts(df, key, text), rarity(phrase_counts(corpus, key, text)), rows, key, top)
 
 
 def topic_lists(ranked: DataFrame, key: str = "complaint_id") -> DataFrame:
