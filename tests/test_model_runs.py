@@ -184,3 +184,22 @@ def test_what_ended_stays_when_the_job_fails(spark, tmp_path):
     stored = spark.read.parquet(sink)
     assert sorted(r.id for r in stored.collect()) == list(range(430))
     assert run_chunks(spark, work, rows.schema, lambda b: b, sink, progress, 4) == 0
+
+
+def test_a_call_ranks_its_phrases_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "complaint_id long, narrative string").withColumn(
+        "dataset_id", F.lit("d"))
+    ranked = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda key: ranked.add(1) or key, "long").asNondeterministic()
+    rank = phrase_state.ex.rank_phrases
+
+    def counted(told, *rest):
+        return rank(told.withColumn("complaint_id", count("complaint_id")), *rest)
+
+    monkeypatch.setattr(phrase_state.ex, "rank_phrases", counted)
+    base = str(tmp_path / "parts")
+    phrase_state.extract_default(rows.filter("complaint_id < 6"), base, "d")
+    before = ranked.value
+    phrase_state.extract_default(rows, base, "d")
+    held = phrase_state.PhraseState(spark, base, "d").table("counts", 2).count()
+    assert before > 0 and ranked.value - before <= held

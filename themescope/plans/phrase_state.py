@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themescope import fixed_values as fv
 from themescope.operators import extraction as ex, joins
+from themescope.session import cut_lineage
 from themescope.sources.readers import read_table, try_read
 from themescope.sources.writers import append_run
 
@@ -83,9 +84,14 @@ class PhraseState:
         frequencies = self.put(added, "frequencies", number)
         again = None
         if before is not None:
-            again = self._touched(before, told, frequencies)
-            told = told.unionByName(before.drop("revision").join(again, KEY, "left_semi"))
-        lists = ex.topic_lists(ex.rank_phrases(told, frequencies, rows_before + new, KEY), KEY)
+            again = cut_lineage(self._touched(before, told, frequencies))
+            before = before.drop("revision")
+            # If most texts are touched it costs less to rank all of them: the lists of the others come out the same.
+            if 2 * again.count() < rows_before:
+                before = before.join(again, KEY, "left_semi")
+            told = told.unionByName(before)
+        # Both new and changed topics are made from the lists, so they are ranked once and stored.
+        lists = cut_lineage(ex.topic_lists(ex.rank_phrases(told, frequencies, rows_before + new, KEY), KEY))
         topics = ex.default_answers(todo, KEY, text).join(lists, KEY)
         if again is not None:
             # Only lists that are different now are written again, with the columns of their row.
