@@ -144,3 +144,17 @@ def test_stable_labels_on_any_partitions(spark, embeddings):
     assert cost <= 1.1 * model.summary.trainingCost
     with pytest.raises(ValueError):
         stable_kmeans(unit.limit(5), "vec_id", 6)
+
+
+def test_a_sweep_takes_no_more_tasks_for_more_partitions(spark, monkeypatch):
+    from themescope.operators import k_selection
+
+    seen = []
+    fit = k_selection.best_kmeans
+    monkeypatch.setattr(k_selection, "best_kmeans", lambda unit, k, **o: (
+        seen.append(unit.rdd.getNumPartitions()), fit(unit, k, **o))[1])
+    rows = spark.range(300).select(
+        F.array((F.col("id") % 3).cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
+        (F.col("id") % 3).cast("string").alias("truth")).repartition(200)
+    table = k_selection.sweep_k(rows, "truth", [3], starts=1, max_iter=5).collect()
+    assert seen == [4 * spark.sparkContext.defaultParallelism] and table[0].ari == 1.0

@@ -15,6 +15,9 @@ from themescope.operators.guards import usable_ks
 from themescope.schemas import K_SWEEP
 from themescope.session import scratch_path
 
+#: Partitions of the vectors a sweep reads in each pass, per core, at most.
+TASKS_PER_CORE = 4
+
 
 def sweep_k(
     vectors: DataFrame, truth: str, ks: list[int], minimum: int = fv.MIN_CATEGORY_SUPPORT,
@@ -27,6 +30,8 @@ def sweep_k(
     of categories with enough support are scored, the same ones for every k.
     """
     unit = with_unit_features(vectors.select(vector, truth), vector).select("features", truth)
+    # Every task of every pass reports to the driver, so the number of tasks follows the cores, not the rows.
+    unit = unit.coalesce(TASKS_PER_CORE * unit.sparkSession.sparkContext.defaultParallelism)
     unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models = {k: best_kmeans(unit, k, starts=starts, seed=seed, max_iter=max_iter)
