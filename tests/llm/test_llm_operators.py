@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from themescope.llm import bpe, decontaminate, exact_dedup, license_scan, quality, toxicity, warc
@@ -128,6 +130,28 @@ def test_merges_are_leftmost_lowest():
         assert bpe.merge_word(s, ranks) == plain(s)
 
 
+def test_bpe_merges_short_words_together(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("word_bpe_49k.json")
+    theirs, ours, alone = tokenizers.Tokenizer.from_file(path), bpe.WordBpe(path), []
+    merge_word = bpe.merge_word
+    monkeypatch.setattr(bpe, "merge_word", lambda s, ranks: alone.append(len(s)) or merge_word(s, ranks))
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeo ES.,'½ä\n<") for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    texts += ["a" * 63 + " " + "ab" * 32 + " " + "aab" * 40, "x<|endoftext|>y <|startoftext|>", "", "It's we'll"]
+    expected = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    for words in (bpe.REMEMBERED_WORDS, 50, 1):  # whatever a task remembers
+        monkeypatch.setattr(bpe, "REMEMBERED_WORDS", words)
+        monkeypatch.setattr(bpe, "FLAT_BYTES", 20 * words)
+        for at in range(0, len(texts), 17):
+            for (ids, plain), want in zip(ours.encode_texts(texts[at: at + 17]), expected[at: at + 17]):
+                assert np.frombuffer(ids, "<u4").tolist() == want
+                assert plain == theirs.decode(want, skip_special_tokens=False)
+        assert len(ours.young[0]) <= words and all(len(chunk) <= bpe.REMEMBERED_LENGTH for chunk in ours.young[0])
+    assert ours.encode(texts[-4]) == expected[-4]
+    assert set(alone) == {120}  # long words only
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 

@@ -1,8 +1,10 @@
 """Byte-pair encoding with word ends, and its decoding.
 
-A word's symbols are leaves of a segment tree over the ranks of adjacent pairs.  The root names the
-leftmost pair of lowest rank; merging it changes two neighbouring pairs, so each merge costs a few point
-updates of logarithmic depth, until the root holds no rank at all.
+A slice of texts is cut into runs without white space; every distinct run that is not remembered, and in it
+every distinct word, is encoded once.  Short words are merged side by side in one flat array.  A long word's
+symbols are leaves of a segment tree over the ranks of adjacent pairs.  The root names the leftmost pair of
+lowest rank; merging it changes two neighbouring pairs, so each merge costs a few point updates of logarithmic
+depth, until the root holds no rank at all.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from themescope.llm.common import groups_of_rows, text_buffer
+from themescope.llm.merges import INSIDE, WIDTH, Merges
 
 _NONE = 1 << 60
 
@@ -41,8 +44,12 @@ _LATER_LOWER = {
 }
 #: Runs without white space of which a task remembers the ids, in each half of its memory.
 REMEMBERED_WORDS = 200_000
-#: Longer ones are encoded each time they come.
+#: Longer ones are forgotten after each slice.
 REMEMBERED_LENGTH = 64
+#: Bytes of a word that is merged along with others, in rounds.
+SHORT_WORD = 64
+#: Bytes of words merged at once.
+FLAT_BYTES = 1 << 20
 
 
 def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -112,7 +119,7 @@ def byte_letters() -> list[str]:
     return out
 
 
-class WordBpe:
+class WordBpe(Merges):
     """Encoder and decoder of a vocabulary file: NFC, white space to one space, lower case, words by the
     file's own pattern, bytes as letters, merges with an end-of-word mark."""
 
@@ -124,12 +131,14 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.ranks = {}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, ab = self.vocab.get(left), self.vocab.get(right), self.vocab.get(left + right)
             if a is not None and b is not None and ab is not None:
-                self.ranks[a, b] = (rank, ab)
+                self.pairs[a, b] = (rank, ab)
+        self._index({a << WIDTH | b: rank for (a, b), (rank, _) in self.pairs.items()},
+                    {a << WIDTH | b: ab for (a, b), (_, ab) in self.pairs.items()}, INSIDE)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         for name, later in (("L", _NOT_LETTERS), ("N", _NOT_NUMBERS)):
             less = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in later)
@@ -141,11 +150,14 @@ class WordBpe:
         letters = byte_letters()
         self.inner = [self.vocab.get(x) for x in letters]
         self.last = [self.vocab.get(x + self.suffix) for x in letters]
+        self.lacking = None in self.inner + self.last
+        if not self.lacking:
+            self.symbols = np.array(self.inner + self.last, np.int32)
         self.forget()
 
     def forget(self) -> None:
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.young: tuple[dict[str, bytes], dict[str, str]] = {}, {}  # ids and decoding of runs
+        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
 
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -153,51 +165,99 @@ class WordBpe:
         symbols.append(self.last[raw[-1]])
         if None in symbols:  # bytes that the vocabulary lacks
             symbols = [x for x in symbols if x is not None]
-        return merge_word(symbols, self.ranks)
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids of a run without white space, as little-endian 32-bit integers, and their decoding."""
-        ids = [i for word in self.words(chunk) for i in self.encode_word(word)]
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
-
-    def _missing(self, chunk: str) -> tuple[bytes, str]:
-        """From the older half of the memory, or anew; the younger half takes its place when full."""
-        found = self.older.get(chunk) or self._chunk(chunk)
-        if len(chunk) <= REMEMBERED_LENGTH:
-            if len(self.cache) >= REMEMBERED_WORDS:
-                self.older, self.cache = self.cache, {}
-            self.cache[chunk] = found
-        return found
-
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        return merge_word(symbols, self.pairs)
+
+    def encode_words(self, words: list[str]) -> tuple[dict[str, bytes], dict[str, str]]:
+        """Ids of each word, as little-endian 32-bit integers, and their decoding."""
+        packed, plain = {}, {}
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [] if self.lacking else [i for i, r in enumerate(raw) if len(r) <= SHORT_WORD]
+        offsets = np.cumsum([0, *[len(raw[i]) for i in short]])
+        for first, last in groups_of_rows(offsets, FLAT_BYTES):
+            part = short[first:last]
+            flat = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8).astype(np.int64)
+            at = offsets[first: last + 1] - offsets[first]
+            flat[at[1:] - 1] += 256  # the last byte of a word
+            ids, begin = self.merge(flat, at[:-1])
+            every, names = ids.astype("<u4").tobytes(), list(map(self.names.__getitem__, ids.tolist()))
+            begin = begin.tolist() + [len(names)]
+            for i, a, b in zip(part, begin, begin[1:]):
+                packed[words[i]] = every[4 * a: 4 * b]
+                plain[words[i]] = " ".join(names[a:b])
+        if len(short) < len(words):
+            for word in words:
+                if word not in packed:
+                    ids = self.encode_word(word)
+                    packed[word], plain[word] = np.array(ids, "<u4").tobytes(), self.decode(ids)
+        return packed, plain
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids and the decoding of runs without white space."""
+        cut = list(map(self.words, chunks))
+        known, shown = self.encode_words(list(set().union(*cut)))
+        packed, plain = self.young
+        for chunk, words in zip(chunks, cut):
+            if len(words) == 1:
+                packed[chunk], plain[chunk] = known[words[0]], shown[words[0]]
+            else:
+                packed[chunk] = b"".join([known[w] for w in words])
+                plain[chunk] = " ".join([shown[w] for w in words if shown[w]])
+
+    def _plain(self, text: str) -> list[str]:
+        """Runs without white space, as they are encoded."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if _SEPARATORS.search(text):  # str.split takes these for white space, the pattern does not
-            chunks = [x for x in self.spaces(" ", text).split(" ") if x]
-            chunks = [_lower(x) for x in chunks]
-        else:
-            chunks = _lower(text).split()
-        get = self.cache.get  # a full memory is replaced; the old one stays right for the rest of this text
-        return [get(x) or self._missing(x) for x in chunks]
+            return [_lower(x) for x in self.spaces(" ", text).split(" ") if x]
+        return _lower(text).split()
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """Encoded and decoded runs of a text, special tokens among them."""
+    def _chunks(self, text: str) -> list[str]:
+        """Runs of a text, and special tokens behind a space, which no run holds."""
         if not self.marks or "<|" not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            i = self.special[m[0]]
             out += self._plain(text[at: m.start()])
-            out.append((np.array([i], "<u4").tobytes(), self.names[i]))
+            out.append(" " + m[0])
             at = m.end()
         return out + self._plain(text[at:])
 
-    def encode_bytes(self, text: str) -> tuple[bytes, str]:
-        parts = [x for x in self.parts(text) if x[0]]
-        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
+    def _recall(self, chunks: set[str]) -> None:
+        """Fill the younger half of the memory with ``chunks``, from the older half or anew; it takes the older
+        one's place when full."""
+        new = chunks.difference(self.young[0])
+        if len(self.young[0]) + len(new) > REMEMBERED_WORDS:
+            self.older, self.young = self.young, ({}, {})
+            new = chunks
+        packed, plain = self.young
+        for chunk in new.intersection(self.older[0]):
+            packed[chunk], plain[chunk] = self.older[0][chunk], self.older[1][chunk]
+        todo = []
+        for chunk in new.difference(packed):
+            if chunk[0] == " ":
+                packed[chunk], plain[chunk] = np.array([self.special[chunk[1:]]], "<u4").tobytes(), chunk[1:]
+            else:
+                todo.append(chunk)
+        self._learn(todo)
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of each text, as little-endian 32-bit integers, and their decoding."""
+        cut = list(map(self._chunks, texts))
+        every = set().union(*cut)
+        self._recall(every)
+        packed, plain = self.young
+        out = [(b"".join(map(packed.__getitem__, chunks)), " ".join(filter(None, map(plain.__getitem__, chunks))))
+               for chunks in cut]
+        if len(packed) > REMEMBERED_WORDS:  # of one slice alone
+            self.forget()
+        else:
+            for chunk in every:
+                if len(chunk) > REMEMBERED_LENGTH:
+                    del packed[chunk], plain[chunk]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
+        return np.frombuffer(self.encode_texts([text])[0][0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings of the ids, one space between them."""
@@ -234,7 +294,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Repeated rows, missing ids and other columns pass as they are; an empty table gives none.
 
     One narrow pass.  A task holds the vocabulary, one slice of about 1 MB of texts and a bounded memory
-    of words; a very long text is a slice of its own, a very long word costs n log n.
+    of words besides those of the slice; a very long text is a slice of its own, a very long word costs n log n.
     """
     fields = docs.select(id_col, *keep).schema
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields],
@@ -249,8 +309,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for a, b in groups_of_rows(offsets, 1 << 20):
                 part = batch.slice(a, b - a)
                 counts, idsums, textsums, every, decoded = [], [], [], [], []
-                for text in part.column(text_col).to_pylist():
-                    ids, plain = bpe.encode_bytes(text or "")
+                for ids, plain in bpe.encode_texts([t or "" for t in part.column(text_col).to_pylist()]):
                     counts.append(len(ids) // 4)
                     idsums.append(hashlib.sha256(ids).hexdigest())
                     textsums.append(hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest())
