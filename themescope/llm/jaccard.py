@@ -3,7 +3,8 @@
 A document is its set of word shingles (tokens).  Two sets of Jaccard similarity t or more share at least k
 tokens among the first ``n - ceil(t n) + k`` of each, in any common order of tokens.  With k = 2 such a pair
 either shares a *rare* token there, and meets under that token, or two *frequent* ones, and meets under
-their combination.  Everything that meets is verified on whole sets.
+their combination.  The classes of a rare token are compared where its rows are read, so that only pairs that
+can link move on.  Everything that meets is verified on whole sets.
 
 Equal sets are one class from the start.  In a large bucket members are first compared with one pivot, the
 member with the fewest tokens of its own; only pairs that this leaves in different components are compared
@@ -32,7 +33,10 @@ ORDERED_TOKENS = 100_000
 #: Bytes of text whose tokens a task counts at once.
 SLICE_BYTES = 1 << 22
 #: 64-bit words of a set's parity sketch at least; a power of two.
-SKETCH_WORDS = 16
+SKETCH_WORDS = 2
+#: Bits of a sketch at least, for each token in which two similar sets may differ.  Sets without common tokens
+#: differ in about half of all bits.
+SKETCH_BITS = 4
 #: Rows of (class, document) that are sent to all tasks at most.
 BROADCAST_ROWS = 500_000
 
@@ -65,16 +69,16 @@ def _class(tokens: np.ndarray) -> int:
     return int(second(np.array([total]), len(tokens)).view(np.int64)[0])
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens that fall on each bit, a bit or more for each token.  Two sets differ in
-    at least as many tokens as their sketches differ in bits, so a pair whose sketches are too far apart
-    cannot be similar."""
-    bits = 64 * max(SKETCH_WORDS, 1 << max(0, (len(tokens) // 64 - 1)).bit_length())
+def _sketch(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the number of tokens that fall on each bit.  Two sets differ in at least as many tokens as their
+    sketches differ in bits, so a pair whose sketches are too far apart cannot be similar."""
+    differ = 2 * len(tokens) * (100 - percent) // (100 + percent)  # of two similar sets of this size
+    bits = 64 * max(SKETCH_WORDS, 1 << max(0, (SKETCH_BITS * differ + 63) // 64 - 1).bit_length())
     odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _described(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
+def _described(keyed: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
     """Rows of two kinds: (_k, n, c, sketch) of each document; (token, seen) of tokens common in a batch."""
     sketches = pa.list_(pa.int64())
 
@@ -88,7 +92,7 @@ def _described(keyed: DataFrame, text_col: str, n: int) -> DataFrame:
                 for _, tokens in _sets(batch, text_col, n):
                     sizes.append(len(tokens))
                     names.append(_class(tokens))
-                    bits.append(_sketch(tokens))
+                    bits.append(_sketch(tokens, percent))
                     if names[-1] not in known:
                         known.add(names[-1])
                         every.append(tokens)
@@ -147,23 +151,33 @@ def _prefixes(keyed: DataFrame, text_col: str, n: int, percent: int, common) ->
         run, "token long, c long, n int, pos int, common boolean"), "jaccard-prefixes")
 
 
-_MARKED = "token long, c long, n int, pos int, often boolean"
+_MARKED = "token long, c long, n int, pos int, often boolean, other long"
 
 
-def _shared_tokens(prefixes: DataFrame) -> DataFrame:
-    """(token, c, n, pos, often) of tokens that two classes have; ``often``: more than FREQUENT have it.
+def _shared_tokens(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(token, c, n, pos, often, other) of two kinds of rows.  Where ``other`` is null: a token that two classes
+    have and one of these; ``often``: more than FREQUENT have it.  Else: two classes that meet under a rare token
+    and can link.
 
     The tokens of the common list, few by its bound, are counted with combining in each task and never
     meet in one.  All others are placed by token once: a task reads them in order, drops lonely tokens and
-    repeated rows, and holds FREQUENT + 1 rows of a token at most.
+    repeated rows, holds FREQUENT + 1 rows of a token at most, and compares the classes of a rare one at once.
     """
     def run(batches):
         held, token, last, often = [], None, None, False  # rows of the token at hand, while it may be lonely or rare
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+        names = ["token", "c", "n", "pos", "often", "other"]
 
-        def rows(values, flag):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in values], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-                + [pa.array([flag] * len(values), pa.bool_())], names=["token", "c", "n", "pos", "often"])
+        def rows(values):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in values], t) for i, t in enumerate(types)], names=names)
+
+        def pairs(held):
+            for i, (_, c, n, pos) in enumerate(held):
+                for _, d, m, at in held[i + 1:]:
+                    # as _can_link, for single tokens
+                    if (100 * n >= percent * m and 100 * m >= percent * n
+                            and (min(n - pos, m - at) + 1) * (100 + percent) >= percent * (n + m)):
+                        yield None, min(c, d), None, None, None, max(c, d)
 
         for batch in batches:
             at = batch.column("token").to_numpy()
@@ -176,29 +190,27 @@ def _shared_tokens(prefixes: DataFrame) -> DataFrame:
             many[:-1] |= same
             many[0] = many[-1] = True
             part = batch.filter(pa.array(many))
-            out_rare, out_often = [], []
+            out = []
             for row in zip(*(part.column(i).to_pylist() for i in range(4))):
                 if row[0] != token:
-                    if len(held) > 1 and not often:
-                        out_rare += held
+                    out += pairs(held)
                     held, token, last, often = [], row[0], None, False
                 if row[1] == last:
                     continue
                 last = row[1]
                 if often:
-                    out_often.append(row)
+                    out.append((*row, True, None))
                     continue
                 held.append(row)
                 if len(held) > FREQUENT:
                     often = True
-                    out_often += held
+                    out += [(*r, True, None) for r in held]
                     held = []
-            if out_rare:
-                yield rows(out_rare, False)
-            if out_often:
-                yield rows(out_often, True)
-        if len(held) > 1 and not often:
-            yield rows(held, False)
+            if out:
+                yield rows(out)
+        out = list(pairs(held))
+        if out:
+            yield rows(out)
 
     columns = ["token", "c", "n", "pos"]
     rest = (prefixes.filter("NOT common").select(*columns).repartition("token").sortWithinPartitions("token", "c")
@@ -207,7 +219,8 @@ def _shared_tokens(prefixes: DataFrame) -> DataFrame:
     counts = common.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("m"))
     counts = counts.filter("a <> b").select("token", (F.col("m") > FREQUENT).alias("often"))
     common = common.join(F.broadcast(counts), "token")  # ORDERED_TOKENS rows at most
-    return stored(rest.unionByName(common.dropDuplicates(["token", "c"]).select(*columns, "often")), "jaccard-marked")
+    common = common.dropDuplicates(["token", "c"]).select(*columns, "often", F.lit(None).cast("long").alias("other"))
+    return stored(rest.unionByName(common), "jaccard-marked")
 
 
 def _prefix(size: int, percent: int) -> int:
@@ -223,11 +236,10 @@ def combined_size(percent: int) -> int:
     return size
 
 
-def _keys(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(key, c, n, pos, slack): what classes meet under.  ``slack`` is 1 where a shared token may stand
-    before the key's place."""
+def _keys(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, c, n, pos, slack): what classes that share ``rows`` of tokens meet under.  ``slack`` is 1 where a
+    shared token may stand before the key's place."""
     combined = combined_size(percent)
-    rows = _shared_tokens(prefixes)
     single = rows.filter(~F.col("often") | (F.col("n") * 100 >= combined * percent)).select(
         F.xxhash64("token").alias("key"), "c", "n", "pos", F.lit(1).alias("slack"))
     lists = (rows.filter(F.col("often") & (F.col("n") <= combined)).groupBy("c", "n")
@@ -258,8 +270,10 @@ def _pivot():
 
 
 def _can_link(percent: int):
-    """Sizes and places leave room for the overlap that the threshold asks for."""
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.col("x.slack")
+    """Sizes and places leave room for the overlap that the threshold asks for.
+
+    Both sides have the same slack; naming both lets the two sides of a join be one exchange."""
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.greatest("x.slack", "y.slack")
     return ((room * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
             & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
 
@@ -359,7 +373,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = with_row_key(docs, id_col, text_col)
     spark = docs.sparkSession
-    described = _described(keyed[0], text_col, n)
+    described = _described(keyed[0], text_col, n, percent)
     members = described.filter(f"{ROW_KEY} IS NOT NULL").select(ROW_KEY, "n", "c")
     late = (described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
             .orderBy(F.desc("seen"), "token").limit(ORDERED_TOKENS).collect())
@@ -367,11 +381,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = spark.sparkContext.broadcast((np.array([t for t, _ in order], np.uint64), np.array([s for _, s in order], np.int64)))
     classes = stored(members.filter("n > 0").groupBy("c").agg(F.min(ROW_KEY).alias("rep"), F.count(F.lit(1)).alias("size")),
                      "jaccard-classes")
-    keys = _keys(_prefixes(keyed[0], text_col, n, percent, common), percent)
+    marked = _shared_tokens(_prefixes(keyed[0], text_col, n, percent, common), percent)
+    keys = _keys(marked.filter("other IS NULL").drop("other"), percent)
     small, large = keys.filter(F.col("m") <= FREQUENT), keys.filter(F.col("m") > FREQUENT)
     pivots = large.filter(F.col("c") == _pivot())
     met = _meeting(small, small, percent, F.col("x.c") < F.col("y.c")).unionByName(
-        _meeting(large, pivots, percent, F.col("x.c") != F.col("y.c"))).distinct()
+        _meeting(large, pivots, percent, F.col("x.c") != F.col("y.c"))).unionByName(
+        marked.filter("other IS NOT NULL").select(F.col("c").alias("a"), F.col("other").alias("b"))).distinct()
     met = _possible(met, described, classes, percent)
     links = _verified(met, keyed[0], classes, text_col, n, percent)
     label = components(links)
