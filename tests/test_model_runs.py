@@ -203,3 +203,52 @@ def test_a_call_ranks_its_phrases_once(spark, tmp_path, monkeypatch):
     phrase_state.extract_default(rows, base, "d")
     held = phrase_state.PhraseState(spark, base, "d").table("counts", 2).count()
     assert before > 0 and ranked.value - before <= held
+
+
+def test_long_tasks_store_their_slices(spark, tmp_path):
+    """A process that is killed costs a batch at most, though tasks are few and Spark commits none of those cut off."""
+    log, base = tmp_path / "log", str(tmp_path / "run")
+    log.mkdir()
+    rows = spark.range(2000).select(
+        F.col("id").alias("complaint_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("narrative"))
+
+    def killed(batches):
+        import os
+        import time
+
+        for batch in batches:
+            for answers in recorder(str(log))(iter([batch])):
+                if (batch["complaint_id"] == 30).any():
+                    time.sleep(1)
+                    os._exit(9)
+                yield answers
+
+    with pytest.raises(Exception):
+        extract_topics(rows, RunOptions(base, extract_hook=killed, commit_rows=100))
+    died = calls(log)
+    topics, ledger = extract_topics(rows, RunOptions(base, extract_hook=recorder(str(log)), commit_rows=100))
+    asked = calls(log)
+    again = [i for i, n in asked.items() if n > 1]
+    assert set(asked) == set(range(2000)) and len(died) > 100
+    assert len(again) <= 100 and max(asked.values()) == 2 and set(again) <= set(died)
+    assert (ledger["rows_out"], ledger["newly_processed"]) == (1800, 1800)
+    attempts = next((tmp_path / "run" / "run").glob("*/attempts"))
+    assert spark.read.parquet(str(attempts)).groupBy("complaint_id").count().agg(F.max("count")).first()[0] == 1
+    assert len(list(attempts.glob("*.parquet"))) <= 2 * 8 * 4 + 10  # not one for each slice of 11 rows
+    assert not list(attempts.parent.glob("slices/*/"))
+
+
+def test_a_cut_off_slice_file_is_read_to_its_end(tmp_path):
+    import pyarrow as pa
+
+    from themescope.streaming import slices
+
+    path = tmp_path / "file"
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    with open(path, "wb") as file, pa.ipc.new_stream(file, batch.schema) as stream:
+        for _ in range(3):
+            stream.write_batch(batch)
+    whole = path.read_bytes()
+    for size, found in ((len(whole), 3), (len(whole) - 4000, 2), (10, 0), (0, 0)):
+        path.write_bytes(whole[:size])
+        assert len(list(slices._stored(str(path)))) == found

@@ -19,8 +19,11 @@ from themescope.schemas import RESPONSES
 from themescope.sources.readers import read_table, try_read
 from themescope.sources.writers import append_missing, append_run, write_stage
 from themescope.streaming.incremental import run_chunks, write_chunks
+from themescope.streaming.slices import mounted, run_slices
 
 RUNS = "run_id string, state string, rows long"
+#: What a hook gets.
+ASKED = ["dataset_id", "complaint_id", "narrative"]
 ANSWER = ["all_topics_discussed", "supporting_quote", "ai_topic_reasoning", "customer_sentiment",
           "extraction_ok", "model_version"]
 
@@ -84,11 +87,19 @@ def finish_run(
     base = f"{folder}/run/{run}"
     work = read_table(spark, f"{base}/work").drop("_row", "_chunk")
 
-    def ask(rows: DataFrame) -> DataFrame:
-        texts = rows.withColumn("narrative", F.coalesce("narrative", F.lit("")))
-        return run_hook(texts, hook, RESPONSES, ["dataset_id", "complaint_id", "narrative"])
+    def filled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("narrative", F.coalesce("narrative", F.lit("")))
 
-    run_chunks(spark, f"{base}/work", work.schema, ask, f"{base}/attempts", f"{base}/progress", chunks_per_batch)
+    def ask(rows: DataFrame) -> DataFrame:
+        return run_hook(filled(rows), hook, RESPONSES, ASKED)
+
+    paths = f"{base}/work", f"{base}/attempts", f"{base}/progress"
+    beside = mounted(spark, f"{base}/slices")
+    if beside:
+        asked = filled(read_table(spark, paths[0])).select("_row", *ASKED)
+        run_slices(spark, paths[0], asked, hook, RESPONSES, *paths[1:], beside, chunks_per_batch)
+    else:
+        run_chunks(spark, paths[0], work.schema, ask, *paths[1:], chunks_per_batch)
     ok, counted = F.col("extraction_ok"), Observation(f"run-{run}")
     answers = att.resolve_attempts(read_table(spark, f"{base}/attempts").drop("batch", "_first", "_last"))
     # A row the hook said nothing about is a failed one too.
