@@ -252,3 +252,34 @@ def test_a_cut_off_slice_file_is_read_to_its_end(tmp_path):
     for size, found in ((len(whole), 3), (len(whole) - 4000, 2), (10, 0), (0, 0)):
         path.write_bytes(whole[:size])
         assert len(list(slices._stored(str(path)))) == found
+
+
+def test_a_call_counts_and_ranks_in_one_exchange(spark, tmp_path, monkeypatch, plan):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "complaint_id long, narrative string").withColumn(
+        "dataset_id", F.lit("d"))
+    plans, rank = [], phrase_state.ex.rank_phrases
+
+    def seen(*args):
+        ranked = rank(*args)
+        plans.append(plan(ranked))
+        return ranked
+
+    monkeypatch.setattr(phrase_state.ex, "rank_phrases", seen)
+    base = str(tmp_path / "parts")
+    phrase_state.extract_default(rows.filter("complaint_id < 6"), base, "d")
+    phrase_state.extract_default(rows, base, "d")
+    assert len(plans) == 2
+    for text in plans:
+        assert text.count("Arguments: hashpartitioning(phrase") == 1
+    assert not list((tmp_path / "parts" / "phrases").glob("*/frequencies"))
+
+
+def test_a_few_new_texts_end_like_the_whole(spark, tmp_path):
+    texts = [f"{a} {b} common words here {b} {a}" for a in ("late", "charged", "other", "today", "again", "fees")
+             for b in ("nothing", "there", "never", "billing", "letter", "credit", "phone")]
+    rows = spark.createDataFrame(list(enumerate([*texts, "late nothing common words"])),
+                                 "complaint_id long, narrative string").withColumn("dataset_id", F.lit("d"))
+    whole, _ = phrase_state.extract_default(rows, str(tmp_path / "whole"), "d")
+    phrase_state.extract_default(rows.filter(F.col("complaint_id") < len(texts)), str(tmp_path / "parts"), "d")
+    part, ledger = phrase_state.extract_default(rows, str(tmp_path / "parts"), "d")
+    assert ledger["new"] == 1 and len(texts) > phrase_state._FEW and lists(part) == lists(whole)

@@ -68,13 +68,17 @@ def rarity(told: DataFrame) -> DataFrame:
 
 
 def rank_phrases(
-    told: DataFrame, counts: DataFrame, rows: int, key: str, top: int = fv.MAX_TOPICS_PER_ROW
+    told: DataFrame, counts: DataFrame | None, rows: int, key: str, top: int = fv.MAX_TOPICS_PER_ROW
 ) -> DataFrame:
     """The phrases with the highest count x ln((rows + 1) / (rows with it + 1)) of each text.
 
     ``counts`` may leave out phrases of a single row.  The join on the phrase leaves a hot phrase to the
-    skew handling of AQE.
+    skew handling of AQE.  Without ``counts`` all rows of a phrase are in ``told``: one exchange by phrase both counts
+    and scores them, and counts are not moved.  A hot phrase is then one run of narrow rows, which the window may spill.
     """
+    if counts is None:
+        documents = F.count(F.lit(1)).over(W.partitionBy("phrase"))
+        return _best_phrases(told.withColumn("documents", documents), rows, key, top)
     documents = F.coalesce("documents", F.lit(1))
     return _best_phrases(told.join(counts, "phrase", "left").withColumn("documents", documents), rows, key, top)
 
@@ -101,10 +105,7 @@ def key_phrases(
     """
     rows = (df if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
     if corpus is None:
-        # The texts hold all rows of a phrase, so one exchange by phrase both counts and scores them: nothing is
-        # stored and counts are not moved.  A hot phrase is one run of narrow rows, which the window may spill.
-        documents = F.count(F.lit(1)).over(W.partitionBy("phrase"))
-        return _best_phrases(row_phrases(df, key, text).withColumn("documents", documents), rows, key, top)
+        return rank_phrases(row_phrases(df, key, text), None, rows, key, top)
     return rank_phrases(phrase_counts(df, key, text), rarity(phrase_counts(corpus, key, text)), rows, key, top)
 
 

@@ -1,9 +1,9 @@
 """Default topics that do not depend on how the rows arrived.
 
 Which phrases of a text are its topics depends on how many texts hold each phrase.  So the phrase counts of
-every text are kept, with a table of phrase frequencies per revision.  A call with new rows makes the next
-revision: frequencies are added up, and of the texts stored before only those are ranked again whose order of
-phrases can have changed.  A revision counts once it is noted; one that was cut off is simply written again.
+every text are kept.  A call with new rows makes the next revision: where they are many, all texts are counted and
+ranked in one exchange by phrase; where they are few, of the texts stored before only those are ranked again whose
+order of phrases can have changed.  A revision counts once it is noted; one that was cut off is simply written again.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ KEY = "complaint_id"
 REVISIONS = "revision int, rows long, ranked long"
 #: Scores are compared to six digits.  Up to this frequency two different ones are further apart than that.
 _APART = 100_000
+#: With one new text to so many stored ones, or more, nearly all stored texts share a phrase with the new ones.
+_FEW = 20
 
 
 class PhraseState:
@@ -50,7 +52,7 @@ class PhraseState:
     def put(self, df: DataFrame, name: str, revision: int) -> DataFrame:
         """The part of a table that belongs to a revision; written again it replaces itself."""
         path = f"{self.base}/{name}/revision={revision}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return read_table(self.spark, path, df.schema)
 
     def seen(self) -> DataFrame | None:
@@ -58,9 +60,12 @@ class PhraseState:
 
     def current(self) -> DataFrame | None:
         """The latest topics of every text that has any: its row of the highest revision."""
-        held = self.table("topics", self.last()[0])
+        last = self.last()[0]
+        held = self.table("topics", last)
         if held is None:
             return None
+        if last == 1:  # nothing is stored twice
+            return held.drop("revision")
         newest = F.max("revision").over(ex.W.partitionBy(KEY))
         return held.withColumn("_newest", newest).filter("revision = _newest").drop("_newest", "revision")
 
@@ -76,31 +81,28 @@ class PhraseState:
         if not new:
             return {"new": 0, "ranked_again": 0}
         told = self.put(ex.row_phrases(todo, KEY, text), "counts", number)
-        added = told.groupBy("phrase").agg(F.count(F.lit(1)).alias("documents"))
-        before = self.table("counts", last)
+        before, frequencies = self.table("counts", last), None
         if before is not None:
-            older = read_table(self.spark, f"{self.base}/frequencies/revision={last}")
-            added = older.unionByName(added).groupBy("phrase").agg(F.sum("documents").alias("documents"))
-        frequencies = self.put(added, "frequencies", number)
-        again = None
-        if before is not None:
-            again = cut_lineage(self._touched(before, told, frequencies))
             before = before.drop("revision")
+            every = told.unionByName(before)
+            if _FEW * new < rows_before:
+                counted = cut_lineage(ex.rarity(every))
+                again = cut_lineage(self._touched(before, told, counted))
+                if 2 * again.count() < rows_before:
+                    frequencies, every = counted, told.unionByName(before.join(again, KEY, "left_semi"))
             # If most texts are touched it costs less to rank all of them: the lists of the others come out the same.
-            if 2 * again.count() < rows_before:
-                before = before.join(again, KEY, "left_semi")
-            told = told.unionByName(before)
+            told = every
         # Both new and changed topics are made from the lists, so they are ranked once and stored.
         lists = cut_lineage(ex.topic_lists(ex.rank_phrases(told, frequencies, rows_before + new, KEY), KEY))
         topics = ex.default_answers(todo, KEY, text).join(lists, KEY)
-        if again is not None:
+        if before is not None:
             # Only lists that are different now are written again, with the columns of their row.
             held = self.current()
             changed = held.join(lists.withColumnRenamed("all_topics_discussed", "_now"), KEY).filter(
                 F.col("all_topics_discussed") != F.col("_now"))
             topics = topics.unionByName(changed.withColumn("all_topics_discussed", F.col("_now")).select(*topics.columns))
         written = self.put(topics, "topics", number).select(KEY)
-        changed_rows = 0 if again is None else written.join(new_rows, KEY, "left_anti").count()
+        changed_rows = 0 if before is None else written.join(new_rows, KEY, "left_anti").count()
         append_run(self.spark.createDataFrame([(number, rows_before + new, changed_rows)], REVISIONS).coalesce(1),
                    f"{self.base}/revisions")
         return {"new": new, "ranked_again": changed_rows}
