@@ -167,3 +167,13 @@ def test_a_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
             source = stream_table(spark, str(tmp_path / kind), rows.schema, pattern="t.parquet")
             assert run_available(source, lambda d: d, sink, progress) == expected
         assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(40))
+
+
+def test_stage_tables_are_packed_closer(spark, tmp_path):
+    from themescope.sources.writers import write_stage
+
+    rows = spark.range(20).selectExpr("id", "concat('a text that says much of ', id) AS narrative")
+    stored = write_stage(rows, str(tmp_path / "stage"))
+    assert stored.orderBy("id").collect() == rows.collect()
+    files = list((tmp_path / "stage").glob("*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
